@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import sentences, unify
+from inkwell.llm import sentences, split, tokens, unify
 from inkwell.llm.tables import contents, table
 
 
@@ -33,8 +33,20 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("tbl", "rec_key", F.explode(sentences.sentence_ends(F.col("content"))).alias("end_pos"))
 
 
+def _oversized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.oversized(contents(spark, sf_dir), ["tbl", "rec_key"], "content", "file_type", table(spark, sf_dir, "split_limits"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _oversized(spark, sf_dir).select("tbl", "rec_key", "cut")
+
+
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.pieces(_oversized(spark, sf_dir), ["tbl", "rec_key"], tokens.DEFAULT)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_texts": p2_texts, "p4_found": p4_found}
+    return {"p2_found": p2_found, "p2_texts": p2_texts, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces}
 
 
 def oracle_sql() -> dict[str, str]:
