@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import sentences, split, tokens, unify
+from inkwell.llm import leaks, sentences, split, tokens, unify
 from inkwell.llm.tables import contents, table
 
 
@@ -45,8 +45,16 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.pieces(_oversized(spark, sf_dir), ["tbl", "rec_key"], tokens.DEFAULT)
 
 
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "test_items"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_texts": p2_texts, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces}
+    return {"p2_found": p2_found, "p2_texts": p2_texts, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_found": p7_found, "p7_leaks": p7_leaks}
 
 
 def oracle_sql() -> dict[str, str]:
