@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import leaks, sentences, split, tokens, unify
+from inkwell.llm import languages, leaks, sentences, split, tokens, unify
 from inkwell.llm.tables import contents, table
 
 
@@ -53,8 +53,21 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_leaks(spark, sf_dir).select("doc_id", "item_id")
 
 
+def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return languages.segments(documents, languages.fit(documents))
+
+
+def p8_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.document_languages(p8_segments(spark, sf_dir))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.unnamed_languages(table(spark, sf_dir, "documents"), p8_segments(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_texts": p2_texts, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_found": p7_found, "p7_leaks": p7_leaks}
+    return {"p2_found": p2_found, "p2_texts": p2_texts, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_segments": p8_segments, "p8_documents": p8_documents}
 
 
 def oracle_sql() -> dict[str, str]:
