@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import languages, leaks, sentences, split, tokens, unify
+from inkwell.llm import languages, leaks, pairs, sentences, split, tokens, unify
 from inkwell.llm.tables import contents, table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.defects(table(spark, sf_dir, "eval_rows"))
+
+
 def p2_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(tbl, field, rec_key, entry, text, unified, changed) of all texts that problem 2 names."""
     gold = table(spark, sf_dir, "jp_reference")
@@ -67,7 +71,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_texts": p2_texts, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_segments": p8_segments, "p8_documents": p8_documents}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_texts": p2_texts, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_segments": p8_segments, "p8_documents": p8_documents}
 
 
 def oracle_sql() -> dict[str, str]:
