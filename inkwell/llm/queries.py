@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import languages, leaks, pairs, sentences, split, tokens, unify
+from inkwell.llm import languages, leaks, pairs, scans, sentences, split, tokens, unify
 from inkwell.llm.tables import contents, table
 
 
@@ -32,6 +32,25 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_texts(spark, sf_dir).where("changed").select("tbl", "field", "rec_key").distinct()
 
 
+def _scanned(spark: SparkSession, sf_dir: str):
+    """The scanned texts, once each, and the model of the others."""
+    texts = contents(spark, sf_dir)
+    scanned = (
+        texts.where(F.col("file_type").isin("pdf", "image") & F.col("content").isNotNull()).dropDuplicates(["tbl", "rec_key"])
+        .withColumn("file", F.coalesce("file_name", F.concat_ws(":", "tbl", "rec_key")))
+    )
+    plain = texts.where(F.col("content").isNotNull() & F.col("file_type").isin("markdown", "docx", "string", "xlsx"))
+    return scanned, scans.language_model(plain)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.traces(*_scanned(spark, sf_dir))
+
+
+def p3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.repaired(*_scanned(spark, sf_dir))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = contents(spark, sf_dir).where(F.col("file_type").isin("markdown", "docx", "string")).dropDuplicates(["tbl", "rec_key"])
     return texts.select("tbl", "rec_key", F.explode(sentences.sentence_ends(F.col("content"))).alias("end_pos"))
@@ -71,7 +90,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_texts": p2_texts, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_segments": p8_segments, "p8_documents": p8_documents}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_texts": p2_texts, "p3_found": p3_found, "p3_paragraphs": p3_paragraphs, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_segments": p8_segments, "p8_documents": p8_documents}
 
 
 def oracle_sql() -> dict[str, str]:
