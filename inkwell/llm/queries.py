@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import languages, leaks, pairs, scans, sentences, split, tokens, unify
+from inkwell.llm import languages, leaks, pack, pairs, scans, sentences, split, tokens, unify
 from inkwell.llm.tables import contents, table
 
 
@@ -68,6 +69,30 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.pieces(_oversized(spark, sf_dir), ["tbl", "rec_key"], tokens.DEFAULT)
 
 
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return documents.select("doc_id", tokens.count_tokens(F.col("text"), tokens.DEFAULT).alias("n_tokens"))
+
+
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pack_name, doc_id, piece, size, container): the container of every document for each capacity.
+
+    The lengths are counted once and kept, as each capacity reads them several times.
+    """
+    sized = _sized(spark, sf_dir).persist()
+    capacities = {r["pack_name"]: r["capacity_tokens"] for r in table(spark, sf_dir, "pack_sizes").collect()}
+    packed = [pack.pack(spark, sized, capacity).select(F.lit(name).alias("pack_name"), "*") for name, capacity in sorted(capacities.items())]
+    return reduce(DataFrame.unionByName, packed)
+
+
+def p6_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pack_name, containers, capacity, used, unused_share): how full the containers are."""
+    sizes = table(spark, sf_dir, "pack_sizes")
+    used = p6_containers(spark, sf_dir).where(F.col("container") >= 0).groupBy("pack_name").agg((F.max("container") + 1).alias("containers"), F.sum("size").alias("used"))
+    share = 1 - F.col("used") / (F.col("containers") * F.col("capacity_tokens"))
+    return used.join(F.broadcast(sizes), "pack_name").select("pack_name", "containers", F.col("capacity_tokens").alias("capacity"), "used", F.round(share, 6).alias("unused_share"))
+
+
 def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "test_items"))
 
@@ -90,7 +115,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_texts": p2_texts, "p3_found": p3_found, "p3_paragraphs": p3_paragraphs, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_segments": p8_segments, "p8_documents": p8_documents}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_texts": p2_texts, "p3_found": p3_found, "p3_paragraphs": p3_paragraphs, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_containers": p6_containers, "p6_unused": p6_unused, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_segments": p8_segments, "p8_documents": p8_documents}
 
 
 def oracle_sql() -> dict[str, str]:

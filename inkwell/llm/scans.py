@@ -61,7 +61,7 @@ _WEAK = {"（{}）", "({})", "No. {}", "[{}]"}
 _KANJI = {ch: i for i, ch in enumerate("〇一二三四五六七八九")}
 _ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
 _MISTAKEN = str.maketrans("OolI|SB", "0011158")
-_SENTENCE = re.compile(r"[。！？、，]|[.!?,;] |[.!?,;:。，、；：！？…][”“"»」』)）\s]*$|^[-*•・] |→")
+_SENTENCE = re.compile(r"[。！？、，]|[.!?,;] |[.!?,;:。，、；：！？…][”“\x22»」』)）\s]*$|^[-*•・] |→")
 _GAP = re.compile(r"\s{2,}|\t|　{2,}")
 _DECOR = re.compile(r"[\W_]+")
 
