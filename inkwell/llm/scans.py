@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -197,10 +198,11 @@ def _kind_udf(titles: pd.Series) -> pd.Series:
 def furniture(scanned: DataFrame) -> DataFrame:
     """(tbl, rec_key, line_no, header, pagenum) of the lines that belong to the page, not to the text.
 
-    ``scanned`` has tbl, rec_key, file, file_type, page, title, content, once per row.
+    ``scanned`` has tbl, rec_key, file, file_type, page, title, content, once per row.  The short lines that may
+    be furniture are kept, since all the evidence is gathered from them.
     """
     found = scanned.select("tbl", "rec_key", "file", F.when(F.col("file_type") == "image", F.col("page")).cast("bigint").alias("page"), "title", "content").mapInPandas(_candidates, _CANDIDATE)
-    found = found.withColumn("on_page", F.coalesce(F.col("page") == F.col("number"), F.lit(False)))
+    found = found.withColumn("on_page", F.coalesce(F.col("page") == F.col("number"), F.lit(False))).persist(StorageLevel.MEMORY_AND_DISK)
     forms = found.where(F.col("form").isNotNull())
     known = forms.groupBy("file", "form", "number").agg(F.max(F.col("follows") | F.col("on_page")).alias("proved"), F.countDistinct("body").alias("bodies"))
     pairs = known.select("file", "form", (F.col("number") + 1).alias("number")).withColumn("after", F.lit(True)).unionByName(
@@ -235,6 +237,7 @@ def furniture(scanned: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- language model
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+_I1, _I2, _I3, _FULL = int(_M1), int(_M2), int(_M3), (1 << 64) - 1
 _MODEL_CHARS = np.array(sorted({ord(ch) for p in CHARACTERS for ch in (p[0], p[2])} | {ord(ch) for p in STRINGS for ch in p if ch != ">"}), np.uint32)
 
 
@@ -305,26 +308,39 @@ def language_model(plain: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 # ---------------------------------------------------------------- decoding
 
-_SOURCES = np.array(sorted(ord(ch) for ch in _SWAPS), np.uint32)
+_SOURCES = np.zeros(0x110000, bool)
+_SOURCES[[ord(ch) for ch in _SWAPS]] = True
 
 
 class Decoder:
     """Readings of scanned lines under the model."""
 
     def __init__(self, grams: np.ndarray, words: np.ndarray):
-        self.grams, self.words, self.seen = grams, words, {}
+        self.grams, self.words, self.seen, self.three = grams, words, {}, {}
         self.log = np.log(np.arange(65536) + 0.5)
 
     def known(self, word: str) -> int:
         return int(self.words[_word_bucket(word)])
 
+    def _gram(self, three: str) -> float:
+        """Log of the count of one trigram."""
+        score = self.three.get(three)
+        if score is None:
+            if len(self.three) > 500_000:
+                self.three.clear()
+            a, b, c = (48 if z.isascii() and z.isdigit() else ord(z) for z in three)
+            h = ((a * _I1) ^ (b * _I2) ^ (c * _I3)) & _FULL
+            h ^= h >> 33
+            h = h * 0xFF51AFD7ED558CCD & _FULL
+            h ^= h >> 29
+            score = self.three[three] = float(self.log[self.grams[h & (BUCKETS - 1)]])
+        return score
+
     def _score(self, text: str) -> float:
-        codes = _codes(text)
-        return float(self.log[self.grams[_trigram(codes[:-2], codes[1:-1], codes[2:])]].sum()) if len(codes) > 2 else 0.0
+        return sum(self._gram(text[i : i + 3]) for i in range(len(text) - 2))
 
     def _rare(self, text: str) -> int:
-        codes = _codes(text)
-        return int((self.grams[_trigram(codes[:-2], codes[1:-1], codes[2:])] == 0).sum())
+        return sum(self._gram(text[i : i + 3]) < 0 for i in range(len(text) - 2))
 
     def word(self, word: str) -> str | None:
         """The word that was meant, or None if this one stands."""
@@ -406,7 +422,7 @@ class Decoder:
         n = len(codes)
         if n < 5:
             return {}
-        places = np.flatnonzero(np.isin(codes[2 : n - 2], _SOURCES)) + 2
+        places = np.flatnonzero(_SOURCES[codes[2 : n - 2]]) + 2
         if not len(places):
             return {}
         a, b, c, d, e = (codes[places + k] for k in (-2, -1, 0, 1, 2))
@@ -425,27 +441,23 @@ class Decoder:
     def _viterbi(self, flow: str, run: list[int]) -> dict[int, str]:
         """The best joint reading of neighbouring places; states are the last two characters."""
         start, stop = run[0], min(run[-1] + 3, len(flow))
-        states = {(flow[start - 2], flow[start - 1]): (0.0, ())}
-        options = {place: [flow[place], *(t for t in _SWAPS[flow[place]])] for place in run}
-        plain = 0.0
-        grams, log = self.grams, self.log
+        states = {flow[start - 2 : start]: (0.0, ())}
+        options = {place: [flow[place], *_SWAPS[flow[place]]] for place in run}
+        plain = sum(self._gram(flow[at - 2 : at + 1]) for at in range(start, stop))
         for at in range(start, stop):
-            nxt: dict[tuple[str, str], tuple[float, tuple]] = {}
-            for (x, y), (score, made) in states.items():
-                for ch in options.get(at, (flow[at],)):
-                    code = _trigram(*(np.array([48 if z.isascii() and z.isdigit() else ord(z)], np.uint32) for z in (x, y, ch)))[0]
-                    gain = score + float(log[grams[code]])
-                    taken = made
-                    if ch != flow[at]:
+            nxt: dict[str, tuple[float, tuple]] = {}
+            own = flow[at]
+            for last, (score, made) in states.items():
+                for ch in options.get(at, own):
+                    gain, taken = score + self._gram(last + ch), made
+                    if ch != own:
                         gain += CHANNEL
                         taken = (*made, (at, ch))
-                    if (y, ch) not in nxt or nxt[y, ch][0] < gain:
-                        nxt[y, ch] = (gain, taken)
+                    state = last[1] + ch
+                    if state not in nxt or nxt[state][0] < gain:
+                        nxt[state] = (gain, taken)
             states = nxt
         best, made = max(states.values())
-        for at in range(start, stop):
-            x, y, ch = flow[at - 2], flow[at - 1], flow[at]
-            plain += float(log[grams[_trigram(*(np.array([48 if z.isascii() and z.isdigit() else ord(z)], np.uint32) for z in (x, y, ch)))[0]]])
         return dict(made) if made and best - plain > CHANGE else {}
 
 
