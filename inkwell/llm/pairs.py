@@ -18,6 +18,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -125,13 +126,15 @@ def common_length(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
-_REFUSAL_KEYS = [key(r) for r in REFUSALS]
-_CLOSING_KEYS = [key(c) for c in CLOSINGS]
+_REFUSAL_KEYS = [(key(r), _shingles(key(r))) for r in REFUSALS]
+_CLOSING_KEYS = [(key(c), _shingles(key(c))) for c in CLOSINGS]
 _OPENER_KEYS = {key(o) for o in OPENERS}
 
 
-def _aligned(unit: str, templates: list[str]) -> bool:
-    return any(t in unit or len(t) > 9 and containment(t, unit) >= 0.9 for t in templates)
+def _aligned(unit: str, templates: list[tuple[str, set[str]]]) -> bool:
+    """Whether the unit holds a template, or nine tenths of the shingles of a long one."""
+    own = _shingles(unit)
+    return any(t in unit or len(t) > 9 and len(parts & own) >= 0.9 * len(parts) for t, parts in templates)
 
 
 def is_refusal(text: str) -> bool:
@@ -295,8 +298,12 @@ def answers(eval_rows: DataFrame) -> DataFrame:
 
 
 def defects(eval_rows: DataFrame) -> DataFrame:
-    """(row_id, field, defect) of each unusable answer; the first of empty, refusal, copy, truncated, other_lang."""
+    """(row_id, field, defect) of each unusable answer; the first of empty, refusal, copy, truncated, other_lang.
+
+    What was examined is kept: the shapes of whole sentences come from it and are joined to it.
+    """
     seen = answers(eval_rows).mapInPandas(_examined, "row_id bigint, field string, defect string, tail string, shapes array<string>, other boolean")
+    seen = seen.persist(StorageLevel.MEMORY_AND_DISK)
     whole = seen.select(F.explode("shapes").alias("tail")).select(F.xxhash64("tail").alias("_tail")).distinct().withColumn("_whole", F.lit(True))
     judged = seen.drop("shapes").withColumn("_tail", F.when(F.col("tail").isNotNull(), F.xxhash64("tail"))).join(whole, "_tail", "left")
     broken = F.col("tail").isNotNull() & F.col("_whole").isNull()
