@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.functions.text import cache_key
+from inkwell.functions.text import cache_key, strip
 
 
 class EmbeddingError(RuntimeError):
@@ -67,9 +67,9 @@ def encode(rows: DataFrame, text: str, provider: Embedder, tries: int = 3) -> Da
 
 
 def encode_cached(rows: DataFrame, text: str, provider: Embedder, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows with vectors, and new cache entries (cache_key, value): only distinct texts that the cache lacks are encoded."""
+    """Rows with vectors, and new cache entries (cache_key, value): only distinct texts that the cache lacks are encoded, blank ones never."""
     keyed = rows.withColumn("cache_key", cache_key(provider.name, F.col(text)))
-    missing = keyed.select("cache_key", F.col(text).alias("_text")).dropDuplicates(["cache_key"]).join(cache.select("cache_key"), "cache_key", "left_anti")
+    missing = keyed.where(strip(F.col(text)) != "").select("cache_key", F.col(text).alias("_text")).dropDuplicates(["cache_key"]).join(cache.select("cache_key"), "cache_key", "left_anti")
     fresh = encode(missing, "_text", provider).select("cache_key", F.col("embedding").alias("value"))
     known = cache.select("cache_key", "value").unionByName(fresh)
     return keyed.join(known, "cache_key", "left").withColumnRenamed("value", "embedding"), fresh

@@ -43,7 +43,7 @@ def test_only_missing_texts_are_encoded(spark):
     rows = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, None), (4, " ")], "id int, text string")
     empty = spark.createDataFrame([], "cache_key string, value array<float>")
     found, fresh = providers.encode_cached(rows, "text", provider, empty)
-    assert fresh.count() == 3 and found.where("id <= 2 and size(embedding) = 4").count() == 2
+    assert fresh.count() == 1 and found.where("id <= 2 and size(embedding) = 4").count() == 2
     assert providers.encode_cached(rows, "text", provider, fresh)[1].count() == 0
 
 
