@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.llm import languages, leaks, pack, pairs, scans, sentences, split, tokens, unify
+from inkwell.llm.sql import SQL
 from inkwell.llm.tables import contents, table
 
 
@@ -119,4 +120,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

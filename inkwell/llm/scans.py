@@ -117,7 +117,7 @@ _LEVEL = str.maketrans("c0l1o5fbq", "eoiiastbg")
 def title_like(text: str) -> bool:
     """Mostly letters, unlike sums, scores and item numbers."""
     letters = sum(ch.isalpha() for ch in text)
-    return letters >= 3 and letters >= 0.4 * len(text.replace(" ", "")) and not _SENTENCE.search(text) and not re.match(r"問\d|.*\d\s*[-+=]\s*\d", text)
+    return letters >= 3 and letters >= 0.4 * len(text.replace(" ", "")) and not _SENTENCE.search(text) and not _HYPHENED.search(text) and not re.match(r"問\d|.*\d\s*[-+=]\s*\d", text)
 
 
 def _columns(text: str) -> int:
