@@ -42,7 +42,8 @@ def _scanned(spark: SparkSession, sf_dir: str):
         .withColumn("file", F.coalesce("file_name", F.concat_ws(":", "tbl", "rec_key")))
     )
     plain = texts.where(F.col("content").isNotNull() & F.col("file_type").isin("markdown", "docx", "string", "xlsx"))
-    return scanned, scans.language_model(plain)
+    titles = texts.where(F.col("title").isNotNull()).select(F.col("title").alias("content")).distinct()
+    return scanned, scans.language_model(plain.select("content").unionByName(titles))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,6 +36,8 @@ BUCKETS = 1 << 22
 #: Log of the probability of a confusion, and the log-odds from which a reading is changed.
 CHANNEL = -3.5
 CHANGE = 1.0
+#: Log-odds for the reading in the script of both neighbours: an ideograph hardly ever stands inside katakana.
+INSIDE = 6.0
 NAME_CHANGE = 4.0
 KNOWN = 3
 ROOM = 500_000
@@ -43,8 +45,10 @@ ROOM = 500_000
 _SWAPS: dict[str, list[str]] = {}
 for _pair in CHARACTERS:
     _SWAPS.setdefault(_pair[0], []).append(_pair[2])
+_KATAKANA = re.compile("[゠-ヿ]").match
+_LIKE_KATAKANA = {p[0] for p in CHARACTERS if _KATAKANA(p[2]) and not _KATAKANA(p[0])}
 _RULES = [tuple(p.split(">")) for p in STRINGS]
-_WORD = re.compile(r"[A-Za-zÀ-ɏḀ-ỿЀ-ӿ가-힣0-9]+(?:[-'’][A-Za-zÀ-ɏḀ-ỿЀ-ӿ]+)*")
+_WORD = re.compile(r"[A-Za-zÀ-ɏḀ-ỿЀ-ӿ가-힣0-9]+(?:[-'’][A-Za-zÀ-ɏḀ-ỿЀ-ӿ0-9]+)*")
 _LETTERED = re.compile(r"[A-Za-zÀ-ɏḀ-ỿЀ-ӿ가-힣]")
 _DIGITS = re.compile(r"[0-9０-９]")
 _HYPHENED = re.compile(r"[A-Za-zÀ-ɏḀ-ỿЀ-ӿ]([-‐‑‒–—¬­⁃~])\s*$")
@@ -451,7 +455,7 @@ class Decoder:
                 for ch in options.get(at, own):
                     gain, taken = score + self._gram(last + ch), made
                     if ch != own:
-                        gain += CHANNEL
+                        gain += CHANNEL + (INSIDE if _KATAKANA(ch) and own in _LIKE_KATAKANA and _KATAKANA(flow[at - 1]) and _KATAKANA(flow[at + 1]) else 0)
                         taken = (*made, (at, ch))
                     state = last[1] + ch
                     if state not in nxt or nxt[state][0] < gain:
