@@ -6,7 +6,7 @@ first as labelled, then on those sentences alone whose label the first model con
 and foreign passages leave the counts.  The log-probability matrix (``BUCKETS`` x 11 numbers) is of fixed size
 and broadcast; batches are scored in numpy.
 
-Defined results: null and blank texts have no segments and no language; a text without letters outside
+Defined results: null and blank texts have no segments and no language, nor have rows without an id; a text without letters outside
 quotations takes no language either; documents that repeat a text each get their rows; an empty table gives
 empty results; a language without labelled documents keeps a flat model, which loses to any fitted one where
 that one knows the text and wins where none does.
@@ -215,7 +215,7 @@ def segments(documents: DataFrame, matrix: np.ndarray) -> DataFrame:
                     out.append([doc, last[1] + 1 if last else 0, *spans[i], lang, float(confidence[i]), int(sure[i])])
             yield pd.DataFrame(out, columns=columns)
 
-    return documents.select("doc_id", "text").mapInPandas(
+    return documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInPandas(
         runs, "doc_id bigint, segment int, start_pos int, end_pos int, lang string, confidence double, sentences int"
     )
 

@@ -11,7 +11,7 @@ The items are a stated query set against all documents.  They are broadcast in b
 what one task holds is bounded however many there are; the documents are read once per block and never
 shuffled before the hits are gathered.
 
-Defined results: null, blank or short texts give no rows; a document under several ids is reported under
+Defined results: null, blank or short texts and rows without an id give no rows; a document under several ids is reported under
 each; repeated rows count once; items or documents without rows give an empty result; other columns are not read.
 """
 
@@ -105,7 +105,7 @@ def leaks(documents: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFra
     blocks = max(1, -(-items.count() // block))
     found = None
     for number in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == number) if blocks > 1 else items
+        part = items.where(F.col("item_id").isNotNull() & (F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == number))
         rows = [(r.item_id, r.text, r.lang) for r in part.select("item_id", "text", "lang").distinct().collect() if r.text]
         plans = spark.sparkContext.broadcast(sketch(rows))
 
@@ -126,6 +126,6 @@ def leaks(documents: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFra
                 if out:
                     yield pd.DataFrame(out, columns=["doc_id", "item_id", "shared_windows"])
 
-        hits = documents.select("doc_id", "text").mapInPandas(search, "doc_id bigint, item_id bigint, shared_windows bigint")
+        hits = documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInPandas(search, "doc_id bigint, item_id bigint, shared_windows bigint")
         found = hits if found is None else found.unionByName(hits)
     return found.groupBy("doc_id", "item_id").agg(F.max("shared_windows").alias("shared_windows"))

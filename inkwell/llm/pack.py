@@ -8,7 +8,7 @@ and offset by the parts before, so a length that holds a third of all documents
 
 A document longer than the capacity is divided into full containers and a rest, and only such a document.
 
-Defined results: null and empty texts have length 0 and take no room, they get a piece of length 0 in the
+Defined results: null and empty texts and unknown lengths count as length 0 and take no room, they get a piece of length 0 in the
 container ``-1``; documents of equal length are interchangeable, their order is by a hash of their id; an empty
 table gives no rows.
 """
@@ -81,6 +81,7 @@ def _below(ascending: list[int], room: int) -> int:
 def pieces(sized: DataFrame, capacity: int) -> DataFrame:
     """(doc_id, piece, size): one piece per document, more only where n_tokens exceeds the capacity."""
     full = F.floor(F.greatest(F.col("n_tokens") - 1, F.lit(0)) / capacity).cast("int")
+    sized = sized.select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"))
     return sized.select("doc_id", "n_tokens", F.explode(F.sequence(F.lit(0), full)).alias("piece")).select(
         "doc_id", "piece", F.least(F.lit(capacity), F.col("n_tokens") - F.col("piece") * capacity).cast("int").alias("size")
     )

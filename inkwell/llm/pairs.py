@@ -7,7 +7,7 @@ final mark by the corpus itself: the shape of its last sentence occurs complete
 is a join on shapes, not a list held by each task.
 
 Defined results: a null answer is 'empty' as there is nothing in it, and a null question is the empty text;
-repeated rows count once; an empty table gives no rows; extra columns are not read.
+repeated rows count once and rows without an id not at all; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -292,7 +292,7 @@ def _examined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def answers(eval_rows: DataFrame) -> DataFrame:
     """(row_id, user_input, field, answer), once for repeated rows."""
-    one = eval_rows.select("row_id", "user_input", "response", "reference").dropDuplicates(["row_id"])
+    one = eval_rows.where(F.col("row_id").isNotNull()).select("row_id", "user_input", "response", "reference").dropDuplicates(["row_id"])
     fields = F.array(*(F.struct(F.lit(name).alias("field"), F.col(name).alias("answer")) for name in ("response", "reference")))
     return one.select("row_id", "user_input", F.inline(fields))
 

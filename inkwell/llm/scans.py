@@ -8,7 +8,7 @@ into arrays of fixed size, which are broadcast.  ``traces`` reads each text as o
 and decodes it as a noisy channel: the probability of a confusion times the likelihood of trigrams and words,
 by Viterbi over the readings of each line.  ``repaired`` gives continuous paragraphs.
 
-Defined results: null and blank texts have no traces; a null file name makes the row a file of its own; repeated
+Defined results: null texts give no rows and blank ones no traces; a row without a key keeps no furniture; a null file name makes the row a file of its own; repeated
 rows count once; without any unscanned text nothing is judged misread; other columns are not read.
 """
 
@@ -205,7 +205,7 @@ def furniture(scanned: DataFrame) -> DataFrame:
     ``scanned`` has tbl, rec_key, file, file_type, page, title, content, once per row.  The short lines that may
     be furniture are kept, since all the evidence is gathered from them.
     """
-    found = scanned.select("tbl", "rec_key", "file", F.when(F.col("file_type") == "image", F.col("page")).cast("bigint").alias("page"), "title", "content").mapInPandas(_candidates, _CANDIDATE)
+    found = scanned.where(F.col("content").isNotNull()).select("tbl", "rec_key", "file", F.when(F.col("file_type") == "image", F.col("page")).cast("bigint").alias("page"), "title", "content").mapInPandas(_candidates, _CANDIDATE)
     found = found.withColumn("on_page", F.coalesce(F.col("page") == F.col("number"), F.lit(False))).persist(StorageLevel.MEMORY_AND_DISK)
     forms = found.where(F.col("form").isNotNull())
     known = forms.groupBy("file", "form", "number").agg(F.max(F.col("follows") | F.col("on_page")).alias("proved"), F.countDistinct("body").alias("bodies"))
@@ -559,7 +559,7 @@ def _examined(scanned: DataFrame, model: tuple[np.ndarray, np.ndarray], repair:
     marks = furniture(scanned).groupBy("tbl", "rec_key").agg(
         F.collect_list(F.when(F.col("header"), F.col("line_no"))).alias("headers"), F.collect_list(F.when(F.col("pagenum"), F.col("line_no"))).alias("numbers")
     )
-    rows = scanned.select("tbl", "rec_key", "content").join(marks, ["tbl", "rec_key"], "left")
+    rows = scanned.where(F.col("content").isNotNull()).select("tbl", "rec_key", "content").join(marks, ["tbl", "rec_key"], "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         decoder = Decoder(*shared.value)

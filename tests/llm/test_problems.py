@@ -278,3 +278,19 @@ def test_segments_and_unnamed(spark, sf_dir):
     assert rows(languages.unnamed_languages(mine, found)) == [(1, "en"), (4, "en"), (4, "zh")]
     assert languages.segments(mine.limit(0), matrix).count() == 0
     assert np.isfinite(languages.fit(documents.limit(0))).all()
+
+
+# ---------------------------------------------------------------- rows without keys
+
+def test_rows_without_keys_do_no_harm(spark, sf_dir, model):
+    evals = spark.createDataFrame([(None, None, None, None, None), (2**60 + 1, None, None, "?", "x")], EVAL)
+    assert rows(pairs.defects(evals)) == [(2**60 + 1, "reference", "empty"), (2**60 + 1, "response", "empty")]
+    texts = spark.createDataFrame([(None, "thе word"), (1, "the word")], "id int, text string")
+    assert {(r.id, r.unified) for r in unify.unify(texts, ["id"], "text", unify.vocabulary(texts, "text")).collect()} == {(None, "the word"), (1, "the word")}
+    pages = scanned(spark, [(None, None, None, None, None, None, None), ("t", None, None, "image", None, None, "·7·\nThe rec0rding was"), ("t", "1", None, "image", None, None, "")])
+    assert scans.traces(pages, model).where("kind = 'misread'").count() == 1
+    docs = spark.createDataFrame([(None, "a" * 50, None), (2**60 + 1, "a" * 50, "en")], "doc_id bigint, text string, lang string")
+    items = spark.createDataFrame([(None, "b" * 50, None), (2**60 + 3, "a" * 50, None)], "item_id bigint, text string, lang string")
+    assert rows(leaks.leaks(docs, items).select("doc_id", "item_id")) == [(2**60 + 1, 2**60 + 3)]
+    sized = spark.createDataFrame([(None, 3), (1, None), (2, 4)], "doc_id bigint, n_tokens int")
+    assert rows(pack.pack(spark, sized, 10).where("doc_id is not null").select("doc_id", "size", "container")) == [(1, 0, -1), (2, 4, 0)]
