@@ -39,11 +39,11 @@ def knn(rows: DataFrame, row_id: str, queries: DataFrame, query_id: str, vector:
     """(query_id, id, score, rank): the k nearest rows of each query; ties go to the smaller id.
 
     ``score`` is the L2 distance or the cosine, rounded.  The queries go out in blocks of fixed size, each
-    partition keeps its k best of a block, and the few survivors meet in a window.  Rows and queries with a
-    null vector, or one of another width or without length (cosine), have no neighbours.
+    partition keeps its k best of a block, and the few survivors meet in a window.  Rows and queries without
+    an id, with a null vector, or one of another width or without length (cosine), have no neighbours.
     """
     spark = rows.sparkSession
-    asked = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("v")).where(F.col("v").isNotNull() & (F.size("v") > 0))
+    asked = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("v")).where(F.col("query_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0))
     blocks = max(1, -(-asked.count() // query_block))
     near = None
     for number in range(blocks):
@@ -65,7 +65,7 @@ def knn(rows: DataFrame, row_id: str, queries: DataFrame, query_id: str, vector:
                         best = best[~np.isnan(line[best])]
                         yield pd.DataFrame({"query_id": ids[q], "id": own[best], "score": line[best]})
 
-        found = rows.select(F.col(row_id).alias("id"), F.col(vector).alias("v")).where(F.col("v").isNotNull()).mapInPandas(nearest, "query_id bigint, id bigint, score double")
+        found = rows.select(F.col(row_id).alias("id"), F.col(vector).alias("v")).where(F.col("v").isNotNull() & F.col("id").isNotNull()).mapInPandas(nearest, "query_id bigint, id bigint, score double")
         near = found if near is None else near.unionByName(found)
     best = Window.partitionBy("query_id").orderBy("score", "id")
     score = F.col("score") if metric == "l2" else -F.col("score") + 0.0
