@@ -221,7 +221,7 @@ def furniture(scanned: DataFrame) -> DataFrame:
         F.col("follows") | F.col("proved") | (F.col("linked") & (~weak | F.col("form_used"))) | (F.col("edge") & ~weak & F.col("form").isNotNull())
         | (F.col("edge") & F.col("form_used"))
     )
-    judged = judged.withColumn("pagenum", F.coalesce(number, F.lit(False)) & F.col("form").isNotNull())
+    judged = judged.withColumn("pagenum", F.coalesce(number, F.lit(False)) & F.col("form").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
     beside = F.col("pagenum") & (F.col("title") != "")
     named = F.col("named") | beside
     places = judged.where(F.col("title") != "").groupBy("file", "title", "tbl").agg(
