@@ -9,4 +9,20 @@ with {_CONTENTS}
 select distinct tbl, rec_key, case when list_max(list_transform(string_split_regex(content, '[ \\n\\x{{3000}}。！？.!?]'), lambda x: length(x))) > max_chars then 'forced' else 'natural' end as cut
 from contents join split_limits using (file_type) where length(content) > max_chars"""
 
-SQL = {"p5_found": P5_FOUND}
+_WIDE = "".join(chr(c) for c in [*range(0xFF10, 0xFF1A), *range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B)])
+_PLAIN = "".join(chr(c - 0xFEE0) for c in map(ord, _WIDE))
+
+
+def _bare(text: str) -> str:
+    """Letters and digits alone, as far as the given texts need it."""
+    return f"regexp_replace(lower(translate(coalesce({text}, ''), '{_WIDE}', '{_PLAIN}')), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
+
+
+P7_FOUND = f"""
+with i as (select item_id, case when lang in ('zh', 'ja') then 20 else 40 end as w, {_bare('text')} as t from test_items),
+g as (select distinct item_id, w, substring(t, n, w) as gram from (select item_id, w, t, unnest(range(1, greatest(length(t) - w + 2, 1))) as n from i)),
+d as (select doc_id, {_bare('text')} as t from documents),
+h as (select distinct doc_id, w, substring(t, n, w) as gram from (select doc_id, t, w, unnest(range(1, greatest(length(t) - w + 2, 1))) as n from d, (select unnest([20, 40]) as w)))
+select distinct doc_id, item_id from h join g using (w, gram)"""
+
+SQL = {"p5_found": P5_FOUND, "p7_found": P7_FOUND}
