@@ -30,12 +30,39 @@ def chunk_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.whole(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query()
+_LINES = f"""
+parts as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as n from documents),
+lines as (select doc_id, {sql_strip('line')} as line, row_number() over (partition by doc_id order by n) as k from parts where {sql_strip('line')} <> '')"""
+
+
+def _sql_packs(keys: str, budget: int) -> str:
+    """Greedy packs of ``lines`` (keys, k, line), one line after the other."""
+    on = " and ".join(f"l.{key} = p.{key}" for key in keys.split(", "))
+    own = ", ".join(f"l.{key}" for key in keys.split(", "))
+    return f"""
+packs({keys}, k, pack, size) as (select {keys}, k, 0::bigint, length(line)::bigint from lines where k = 1
+ union all select {own}, l.k, case when p.size + 1 + length(l.line) <= {budget} then p.pack else p.pack + 1 end, case when p.size + 1 + length(l.line) <= {budget} then p.size + 1 + length(l.line) else length(l.line) end
+ from packs p join lines l on {on} and l.k = p.k + 1)"""
+
+
+@query(f"""with recursive {_LINES}, {_sql_packs('doc_id', 500)},
+c as (select doc_id, pack as chunk_index, string_agg(line, chr(10) order by k) as content from packs join lines using (doc_id, k) group by all)
+select doc_id, chunk_index, count(*) over (partition by doc_id) as total_chunks, content, length(content) as chunk_size from c""")
 def chunk_packed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.packed_lines(table(spark, sf_dir, "documents"), "doc_id", "text", 500)
 
 
-@query()
+@query(f"""with recursive
+r as (select result_id, any_value(items) as items from loader_results where items is not null group by result_id),
+i as (select result_id, unnest(items, recursive := true) from r),
+h as (select result_id, item_no, case label when 'list_item' then 'list' else 'text' end as kind, label, last_value(case when label in ('title', 'section_header') then text end ignore nulls) over (partition by result_id order by item_no rows unbounded preceding) as heading, text from i),
+b as (select * from h where label not in ('title', 'section_header') and {sql_strip('text')} <> ''),
+m as (select *, case when lag(kind) over w is null or lag(kind) over w <> kind or lag(heading) over w is distinct from heading then 1 else 0 end as fresh from b window w as (partition by result_id order by item_no)),
+g as (select *, sum(fresh) over (partition by result_id order by item_no)::bigint as heading_no from m),
+lines as (select result_id, heading_no, heading, text as line, row_number() over (partition by result_id, heading_no order by item_no) as k from g),
+{_sql_packs('result_id, heading_no', 400)},
+c as (select result_id, heading_no, any_value(heading) as heading, pack, string_agg(line, chr(10) order by k) as content from packs join lines using (result_id, heading_no, k) group by result_id, heading_no, pack)
+select result_id, heading_no, heading, row_number() over (partition by result_id order by heading_no, pack) - 1 as chunk_index, count(*) over (partition by result_id) as total_chunks, content, length(content) as chunk_size from c""")
 def chunk_structural(spark: SparkSession, sf_dir: str) -> DataFrame:
     results = table(spark, sf_dir, "loader_results").where(F.col("items").isNotNull()).dropDuplicates(["result_id"])
     return chunking.structural(results, "result_id", "items", 400)
