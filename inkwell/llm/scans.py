@@ -316,6 +316,15 @@ _SOURCES = np.zeros(0x110000, bool)
 _SOURCES[[ord(ch) for ch in _SWAPS]] = True
 
 
+_CONSONANTS = re.compile("[bcdfghjklmnpqrstvwxz]+")
+_HIRAGANA = re.compile("[ぁ-ゖー]{40,}")
+
+
+def _cluster(word: str) -> int:
+    """Length of the longest run of consonants."""
+    return max(map(len, _CONSONANTS.findall(word.lower())), default=0)
+
+
 class Decoder:
     """Readings of scanned lines under the model."""
 
@@ -395,7 +404,7 @@ class Decoder:
         return self._name(word)
 
     def _name(self, word: str) -> str | None:
-        """An invented name: by its trigrams alone, so only where they speak clearly."""
+        """An invented name: by its trigrams, and only where consonants pile up or a digit stands inside."""
         if re.search("[가-힣]", word) or len(word) < 4:
             return None
         own = self._score(f" {word} ")
@@ -408,7 +417,7 @@ class Decoder:
                 longer = len(meant) - len(read)
                 gain = self._score(f" {made} ") - own - longer * 3.0 + CHANNEL
                 digit = read.isdigit() and 0 < at and word[at - 1].isalpha()
-                if not digit and (rare < 2 or self._rare(f" {made} ")):
+                if not digit and (rare < 2 or self._rare(f" {made} ") or _cluster(word) < max(3, _cluster(made) + 1)):
                     at = word.find(read, at + 1)
                     continue
                 if gain > (0 if digit else top) and gain > (top if best else -1e9):
@@ -433,6 +442,8 @@ class Decoder:
         here = [self.grams[_trigram(*t)] for t in ((a, b, c), (b, c, d), (c, d, e))]
         doubtful = np.minimum(np.minimum(here[0], here[1]), here[2]) < 3
         places = places[doubtful].tolist()
+        for m in _HIRAGANA.finditer(flow):  # no words, so no likelihoods
+            places = [p for p in places if not m.start() <= p < m.end()]
         changes: dict[int, str] = {}
         run: list[int] = []
         for place in [*places, n + 10]:
