@@ -14,6 +14,7 @@ rows count once; without any unscanned text nothing is judged misread; other col
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 import zlib
@@ -260,9 +261,10 @@ def _trigram(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (h & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
-def _word_bucket(word: str) -> int:
-    data = word.encode()
-    return (zlib.crc32(data) ^ zlib.adler32(data) << 7) & (BUCKETS - 1)
+def _word_buckets(word: str) -> tuple[int, int]:
+    """Two independent places of a word; its count is the smaller of theirs, so chance hits need both."""
+    h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big")
+    return h & (BUCKETS - 1), h >> 32 & (BUCKETS - 1)
 
 
 def _flat(text: str) -> str:
@@ -295,7 +297,8 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"kind": np.zeros(len(at), np.int8), "bucket": at, "n": grams[at]})
     total = np.zeros(BUCKETS, np.int64)
     for w, n in words.items():
-        total[_word_bucket(w)] += n
+        for bucket in {*_word_buckets(w)}:
+            total[bucket] += n
     at = np.flatnonzero(total)
     yield pd.DataFrame({"kind": np.ones(len(at), np.int8), "bucket": at, "n": total[at]})
 
@@ -333,7 +336,8 @@ class Decoder:
         self.log = np.log(np.arange(65536) + 0.5)
 
     def known(self, word: str) -> int:
-        return int(self.words[_word_bucket(word)])
+        first, second = _word_buckets(word)
+        return min(int(self.words[first]), int(self.words[second]))
 
     def _gram(self, three: str) -> float:
         """Log of the count of one trigram."""
