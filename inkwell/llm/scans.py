@@ -368,7 +368,7 @@ class Decoder:
         return self.seen[word]
 
     def _readings(self, word: str) -> dict[str, int]:
-        """Other readings and how many confusions each takes, up to two (three in long words)."""
+        """Other readings and how many confusions each takes: two only if none with one is a word."""
         rules = _RULES if not re.search("[가-힣]", word) else [(s, t) for s, ts in _SWAPS.items() for t in ts if "가" <= s <= "힣"]
         found, layer = {word: 0}, [word]
         for depth in range(1, 3):
@@ -383,7 +383,7 @@ class Decoder:
                             fresh.append(made)
                         at = w.find(read, at + 1)
             layer = fresh
-            if any(self.known(w) >= KNOWN for w in layer) or len(layer) > 400:
+            if depth == 1 and any(self.known(w) >= KNOWN or w[0].isupper() and self.known(w.lower()) >= KNOWN for w in layer):
                 break
         del found[word]
         return found
@@ -396,7 +396,9 @@ class Decoder:
                 return None
         best, top = None, 0.0
         for made, depth in self._readings(word).items():
-            n = max(self.known(made), self.known(made.lower()), self.known(made.capitalize()) if not re.search("[가-힣]", made) else 0)
+            n = self.known(made)
+            if n < KNOWN and made[0].isupper():
+                n = max(n, self.known(made.lower()), self.known(made.capitalize()) if made.isupper() else 0)
             if n >= KNOWN and (gain := np.log(n + 0.5) - np.log(0.5) + depth * CHANNEL / 3) > top:
                 best, top = made, gain
         if best:
