@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Query vectors that are broadcast at a time.
@@ -43,6 +44,8 @@ def knn(rows: DataFrame, row_id: str, queries: DataFrame, query_id: str, vector:
     an id, with a null vector, or one of another width or without length (cosine), have no neighbours.
     """
     spark = rows.sparkSession
+    kind = lambda df, name: "string" if isinstance(df.schema[name].dataType, T.StringType) else "bigint"
+    schema = f"query_id {kind(queries, query_id)}, id {kind(rows, row_id)}, score double"
     asked = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("v")).where(F.col("query_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0))
     blocks = max(1, -(-asked.count() // query_block))
     near = None
@@ -59,13 +62,14 @@ def knn(rows: DataFrame, row_id: str, queries: DataFrame, query_id: str, vector:
                 for start in range(0, len(batch), 500):
                     some = batch.iloc[start : start + 500]
                     own = some["id"].to_numpy()
+                    order = own.astype(str) if own.dtype == object else own
                     score = np.round(_scores(_matrix(some["v"].tolist()), asked_, metric), DIGITS)
                     for q, line in enumerate(score):
-                        best = np.lexsort((own, line))[:k]
+                        best = np.lexsort((order, line))[:k]
                         best = best[~np.isnan(line[best])]
                         yield pd.DataFrame({"query_id": ids[q], "id": own[best], "score": line[best]})
 
-        found = rows.select(F.col(row_id).alias("id"), F.col(vector).alias("v")).where(F.col("v").isNotNull() & F.col("id").isNotNull()).mapInPandas(nearest, "query_id bigint, id bigint, score double")
+        found = rows.select(F.col(row_id).alias("id"), F.col(vector).alias("v")).where(F.col("v").isNotNull() & F.col("id").isNotNull()).mapInPandas(nearest, schema)
         near = found if near is None else near.unionByName(found)
     best = Window.partitionBy("query_id").orderBy("score", "id")
     score = F.col("score") if metric == "l2" else -F.col("score") + 0.0

@@ -26,3 +26,23 @@ def render(hits: DataFrame, keys: list[str], order: str, content: str) -> DataFr
         F.array_join(F.transform(blocks, lambda b: F.concat(F.lit("["), b["o"].cast("string"), F.lit("] "), b["c"])), "\n\n"),
     )
     return hits.groupBy(*keys).agg(text.alias("text"))
+
+
+def drawn(queries: DataFrame, query_id: str, rows: DataFrame, row_id: str) -> DataFrame:
+    """(query_id, and the columns of rows): for each query one row, drawn from all rows by the hash of the query's id.
+
+    Rows are numbered in the order of their ids' hashes, counted in 4,096 parts by its first digits, so that no
+    window holds them all; ids must be distinct.
+    """
+    from pyspark.sql.window import Window
+
+    split = rows.withColumn("_hash", F.md5(F.col(row_id).cast("string"))).withColumn("_part", F.substring("_hash", 1, 3))
+    counts = split.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy("_hash", row_id)) - 1
+    numbered = split.withColumn("_within", within).join(F.broadcast(offsets), "_part").withColumn("_number", F.col("_before") + F.col("_within"))
+    total = counts.agg(F.sum("_n").alias("_total"))
+    place = F.conv(F.substring(F.md5(F.col(query_id).cast("string")), 1, 15), 16, 10).cast("long") % F.col("_total")
+    asked = queries.select(query_id).join(F.broadcast(total)).select(query_id, place.alias("_number"))
+    return numbered.join(asked, "_number").select(query_id, *rows.columns)

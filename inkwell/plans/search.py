@@ -134,9 +134,9 @@ def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("source").agg(F.count("*").alias("documents"), F.round(F.avg("n"), 6).alias("mean_length"))
 
 
-def _sql_bm25(k1: float = 1.2, b: float = 0.75, where: str = "true", asked: str = "select line_no as query_id, query as q from jp_reference where line_no % 100 = 0", k: int = K) -> str:
+def _sql_bm25(k1: float = 1.2, b: float = 0.75, where: str = "true", asked: str = "select line_no as query_id, query as q from jp_reference where line_no % 100 = 0", k: int = K, rows: str = "documents") -> str:
     return f"""
-with d as (select doc_id, {sql_terms('text')} as w from documents where {where}),
+with d as (select doc_id, {sql_terms('text')} as w from {rows} where {where}),
 n as (select doc_id, len(w) as length from d where len(w) > 0),
 s as (select count(*) as documents, avg(length) as mean_length from n),
 a as (select distinct query_id, unnest({sql_terms('q')}) as term from ({asked})),
@@ -217,3 +217,48 @@ def render_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     few = hybrid_retrieve(spark, sf_dir)
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), F.col("text").alias("content"))
     return retrieve.render(few.join(texts, "item"), ["query_id"], "position", "content")
+
+
+def _once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "chunks").where(F.col("id").isNotNull())
+
+
+def _chunk_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, item, list_no, rank) over all chunks, once per id: list 0 by their own vectors, lists 1.. by content.
+
+    A question has the vector of a chunk drawn by the hash of its line, as the tables have none of its own.
+    """
+    rows, e = _once(spark, sf_dir), F.col("embedding")
+    usable = rows.where((F.size(e) == 8) & ~F.exists(e, lambda x: x.isNull())).select("id", "embedding").dropDuplicates(["id"])
+    lines = _gold(spark, sf_dir).select(F.col("line_no").cast("long").alias("query_id")).distinct()
+    near = knn.knn(usable, "id", retrieve.drawn(lines, "query_id", usable, "id"), "query_id", "embedding", 3)
+    texts = rows.select("id", "content").dropDuplicates(["id"])
+    words = lexical.bm25(texts, "id", "content", _keywords(spark, sf_dir), "query_id", "keyword", 3, keep=True)
+    found = words.select(F.floor(F.col("query_id") / 1000).alias("query_id"), F.col("doc_id").alias("item"), (F.col("query_id") % 1000).alias("list_no"), "rank")
+    return near.select("query_id", F.col("id").alias("item"), F.lit(0).cast("long").alias("list_no"), "rank").unionByName(found)
+
+
+_SQL_CHUNKS = "(select id as doc_id, any_value(content) as text from chunks where id is not null group by id)"
+_SQL_CHUNK_HITS = f"""
+usable as (select id, any_value(embedding::double[]) as x from chunks where id is not null and len(embedding) = 8 and len(list_filter(embedding, lambda x: x is null)) = 0 group by id),
+own as (select id, x, row_number() over (order by md5(id), id) - 1 as n from usable),
+v as (select line_no as query_id, x from (select distinct line_no from jp_reference where line_no % 100 = 0) join own on n = ('0x' || substring(md5(line_no::varchar), 1, 15))::bigint % (select count(*) from own)),
+near as (select query_id, id as item, 0 as list_no, row_number() over (partition by query_id order by round(list_distance(own.x, v.x), 6), id) as rank from v, own),
+words as ({_sql_bm25(asked=_KEYWORDS, k=3, rows=_SQL_CHUNKS)}),
+hits as (select query_id, item, list_no, rank from near where rank <= 3 union all select query_id // 1000, doc_id, query_id % 1000, rank from words),
+firsts as (select query_id, item, min((list_no, rank)) as f from hits group by all),
+placed as (select query_id, item, row_number() over (partition by query_id order by f, item) as position from firsts)"""
+
+
+@query(f"with {_SQL_CHUNK_HITS} select query_id, item, position from placed")
+def hybrid_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid retrieval over the whole corpus of chunks."""
+    return retrieve.keep_first(_chunk_hits(spark, sf_dir), ["query_id"], "item").select("query_id", "item", "position")
+
+
+@query(f"with {_SQL_CHUNK_HITS} select query_id, 'Found ' || count(*) || ' documents\n\n' || string_agg('[' || position || '] ' || coalesce(text, ''), '\n\n' order by position) as text from placed join {_SQL_CHUNKS} on doc_id = item group by query_id")
+def render_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents are joined, and made one per id, only after the hits are few."""
+    few = hybrid_chunks(spark, sf_dir)
+    texts = _once(spark, sf_dir).select(F.col("id").alias("item"), "content")
+    return retrieve.render(few.join(texts, "item").dropDuplicates(["query_id", "item"]), ["query_id"], "position", "content")
