@@ -12,20 +12,21 @@ from pyspark.sql.streaming import StreamingQuery
 from inkwell.operators import store
 
 
-def arrivals(spark: SparkSession, path: str, schema, delay: str = "1 day") -> DataFrame:
-    """New rows as they arrive; the same id and time twice within the delay counts once."""
-    return spark.readStream.schema(schema).parquet(path).withWatermark("ingested_at", delay).dropDuplicatesWithinWatermark(["id", "ingested_at"])
+def arrivals(spark: SparkSession, path: str, schema) -> DataFrame:
+    """New rows as they arrive, however late; what comes twice is made one by the store."""
+    return spark.readStream.schema(schema).parquet(path)
 
 
 def into_store(rows: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
     """Upserts each micro-batch into the snapshot store under ``root``, the latest arrival of an id winning.
 
-    A batch that is run again gives the same snapshot, so a lost executor or driver does no harm.
+    A store that exists is kept, also when the checkpoint is new.  A batch that is run again gives the same
+    snapshot, so a lost executor or driver does no harm.
     """
 
-    def merge(batch: DataFrame, number: int) -> None:
+    def merge(batch: DataFrame, _: int) -> None:
         once = store.latest(batch, ["id"], ["ingested_at"])
-        if number and _exists(batch.sparkSession, root):
+        if _exists(batch.sparkSession, root):
             old = store.current(batch.sparkSession, root)
             both = store.latest(old.unionByName(once), ["id"], ["ingested_at"])
         else:

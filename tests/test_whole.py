@@ -4,7 +4,8 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from inkwell.operators import knn, retrieve
+from inkwell.operators import knn, retrieve, store
+from inkwell.streaming import ingest
 
 
 def test_queries_draw_from_all_rows(spark):
@@ -33,3 +34,23 @@ def test_every_question_has_a_vector_of_its_own_draw(spark, sf_dir):
     assert hits.where("list_no = 0").select("query_id").distinct().count() == lines
     usable = spark.read.parquet(f"{sf_dir}/chunks.parquet").where(F.size("embedding") == 8).select("id")
     assert hits.where("list_no = 0").join(usable, hits["item"] == usable["id"], "left_anti").count() == 0
+
+
+def _streamed(spark, tmp_path, batches):
+    source, root = str(tmp_path / "in"), str(tmp_path / "store")
+    for check, data in batches:
+        rows = spark.createDataFrame(data, "id string, v int, t string").select("id", "v", F.to_timestamp("t").alias("ingested_at"))
+        rows.coalesce(1).write.mode("append").parquet(source)
+        ingest.into_store(ingest.arrivals(spark, source, rows.schema), root, str(tmp_path / check)).awaitTermination()
+    return sorted((r.id, r.v) for r in store.current(spark, root).collect())
+
+
+def test_stream_keeps_late_rows(spark, tmp_path):
+    batches = [("one", [("a", 1, "2022-01-01")]), ("one", [("b", 2, "2022-01-02")]), ("one", [("c", 3, "2019-01-01"), ("a", 0, "2019-01-01")])]
+    assert _streamed(spark, tmp_path, batches) == [("a", 1), ("b", 2), ("c", 3)]
+
+
+def test_new_checkpoint_keeps_the_store(spark, tmp_path):
+    stored = spark.createDataFrame([("z", 9, "2020-01-01"), ("a", 7, "2023-01-01")], "id string, v int, t string").select("id", "v", F.to_timestamp("t").alias("ingested_at"))
+    store.swap(stored, str(tmp_path / "store"))
+    assert _streamed(spark, tmp_path, [("new", [("a", 1, "2022-01-01"), ("b", 2, "2022-01-01")])]) == [("a", 7), ("b", 2), ("z", 9)]
