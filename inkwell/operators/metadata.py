@@ -8,17 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SCALARS = ("file_type", "file_name", "title", "author", "subject")
+SCALARS = ("file_type", "file_name", "title", "author", "subject", "source", "producer")
 TIMES = ("created_at", "modified_at")
 CHUNK_INFO = ("chunk_index", "total_chunks", "chunk_size", "chunk_tokens")
+#: Fields of the variants of single loaders; the older flat form hasn't got them.
+VARIANTS = ("source", "producer", "page", "outlines")
 ISO = "yyyy-MM-dd'T'HH:mm:ss"
 
 
 def flatten(metadata: str) -> Column:
-    """A map from dotted keys to text: nulls left out, times in ISO form, is_chunk only if true."""
+    """A map from dotted keys to text: nulls left out, times in ISO form, is_chunk only if true, outlines as JSON."""
     m = F.col(metadata)
     pairs = [(name, m[name]) for name in SCALARS] + [(name, F.date_format(m[name], ISO)) for name in TIMES]
     pairs += [("is_chunk", F.when(m["is_chunk"], F.lit("true")))] + [(f"chunk_info.{name}", m["chunk_info"][name].cast("string")) for name in CHUNK_INFO]
+    pairs += [("page", m["page"].cast("string")), ("outlines", F.to_json(m["outlines"]))]
     own = F.map_from_arrays(F.array(*(F.lit(k) for k, _ in pairs)), F.array(*(v for _, v in pairs)))
     extra = F.transform_keys(F.coalesce(m["extra"], F.create_map().cast("map<string,string>")), lambda k, _: F.concat(F.lit("extra."), k))
     return F.map_filter(F.map_concat(own, extra), lambda _, v: v.isNotNull())
@@ -28,11 +31,12 @@ def unflatten(flat: Column) -> Column:
     """The struct that a flat map stands for; file_type defaults to 'string', file_name to ''."""
     at = lambda key: F.try_element_at(flat, F.lit(key))
     info = F.struct(*(at(f"chunk_info.{name}").cast("int").alias(name) for name in CHUNK_INFO))
-    extra = F.transform_keys(F.map_filter(flat, lambda k, _: k.startswith("extra.")), lambda k, _: F.substring(k, 7, 1000))
+    extra = F.transform_keys(F.map_filter(flat, lambda k, _: k.startswith("extra.")), lambda k, _: F.substr(k, F.lit(7)))
     return F.struct(
         F.coalesce(at("file_type"), F.lit("string")).alias("file_type"), F.coalesce(at("file_name"), F.lit("")).alias("file_name"),
         *(at(name).alias(name) for name in SCALARS[2:]), *(F.try_to_timestamp(at(name), F.lit(ISO)).alias(name) for name in TIMES),
         (F.coalesce(at("is_chunk"), F.lit("false")) == "true").alias("is_chunk"), info.alias("chunk_info"), extra.alias("extra"),
+        at("page").cast("int").alias("page"), F.from_json(at("outlines"), "array<string>").alias("outlines"),
     )
 
 

@@ -131,6 +131,22 @@ p as (select result_id, unnest(list_concat([
  coalesce(list_transform(map_entries(m.extra), lambda e: {'key': 'extra.' || e.key, 'value': e.value}), []))) as kv from r)
 select result_id, kv.key as key, kv.value as value from p where kv.value is not null""")
 def metadata_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "loader_results").dropDuplicates(["result_id"])
+    return rows.select("result_id", F.explode(metadata.flatten("metadata")).alias("key", "value")).where(~F.col("key").isin(*metadata.VARIANTS))
+
+
+@query("""
+with r as (select result_id, any_value(metadata) as m from loader_results group by result_id),
+p as (select result_id, unnest(list_concat([
+ {'key': 'file_type', 'value': m.file_type}, {'key': 'file_name', 'value': m.file_name}, {'key': 'title', 'value': m.title}, {'key': 'author', 'value': m.author}, {'key': 'subject', 'value': m.subject},
+ {'key': 'source', 'value': m.source}, {'key': 'producer', 'value': m.producer}, {'key': 'page', 'value': m.page::varchar}, {'key': 'outlines', 'value': to_json(m.outlines)::varchar},
+ {'key': 'created_at', 'value': strftime(m.created_at::timestamp, '%Y-%m-%dT%H:%M:%S')}, {'key': 'modified_at', 'value': strftime(m.modified_at::timestamp, '%Y-%m-%dT%H:%M:%S')},
+ {'key': 'is_chunk', 'value': case when m.is_chunk then 'true' end}, {'key': 'chunk_info.chunk_index', 'value': m.chunk_info.chunk_index::varchar}, {'key': 'chunk_info.total_chunks', 'value': m.chunk_info.total_chunks::varchar},
+ {'key': 'chunk_info.chunk_size', 'value': m.chunk_info.chunk_size::varchar}, {'key': 'chunk_info.chunk_tokens', 'value': m.chunk_info.chunk_tokens::varchar}],
+ coalesce(list_transform(map_entries(m.extra), lambda e: {'key': 'extra.' || e.key, 'value': e.value}), []))) as kv from r)
+select result_id, kv.key as key, kv.value as value from p where kv.value is not null""")
+def metadata_flatten_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the fields of the variants too."""
     rows = table(spark, sf_dir, "loader_results").dropDuplicates(["result_id"])
     return rows.select("result_id", F.explode(metadata.flatten("metadata")).alias("key", "value"))
 
@@ -146,6 +162,21 @@ def metadata_unflatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("result_id", "m.file_type", "m.file_name", "m.title", F.col("m.created_at").cast("timestamp_ntz").alias("created_at"), "m.is_chunk", "m.chunk_info.chunk_size", F.size("m.extra").alias("extras"))
 
 
+@query("""
+with r as (select result_id, any_value(metadata) as m from loader_results group by result_id)
+select result_id, coalesce(m.file_type, 'string') as file_type, coalesce(m.file_name, '') as file_name, m.title as title, m.author as author, m.subject as subject, m.source as source, m.producer as producer, m.page as page, m.outlines as outlines,
+ date_trunc('second', m.created_at::timestamp) as created_at, date_trunc('second', m.modified_at::timestamp) as modified_at, coalesce(m.is_chunk, false) as is_chunk,
+ m.chunk_info.chunk_index as chunk_index, m.chunk_info.total_chunks as total_chunks, m.chunk_info.chunk_size as chunk_size, m.chunk_info.chunk_tokens as chunk_tokens,
+ list_sort(list_transform(list_filter(coalesce(map_entries(m.extra), []), lambda e: e.value is not null), lambda e: e.key || '=' || e.value)) as extra from r""")
+def metadata_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every field after flattening and back; extra as sorted 'key=value'."""
+    rows = table(spark, sf_dir, "loader_results").dropDuplicates(["result_id"])
+    m = rows.select("result_id", metadata.unflatten(metadata.flatten("metadata")).alias("m")).select("result_id", "m.*")
+    extra = F.array_sort(F.transform(F.map_entries("extra"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    times = {name: F.col(name).cast("timestamp_ntz") for name in metadata.TIMES}
+    return m.withColumns(times | {"extra": extra}).select("*", "chunk_info.*").drop("chunk_info")
+
+
 @query("""
 select id, count(*) as rows from chunks where metadata.file_type in ('pdf', 'markdown') and metadata.chunk_info.chunk_index >= 2
  and not coalesce(metadata.chunk_info.chunk_size > 300, false) and metadata.title is not null group by id""")

@@ -4,7 +4,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from inkwell.operators import knn, retrieve, store
+from inkwell.operators import knn, metadata, retrieve, store
 from inkwell.streaming import ingest
 
 
@@ -54,3 +54,13 @@ def test_new_checkpoint_keeps_the_store(spark, tmp_path):
     stored = spark.createDataFrame([("z", 9, "2020-01-01"), ("a", 7, "2023-01-01")], "id string, v int, t string").select("id", "v", F.to_timestamp("t").alias("ingested_at"))
     store.swap(stored, str(tmp_path / "store"))
     assert _streamed(spark, tmp_path, [("new", [("a", 1, "2022-01-01"), ("b", 2, "2022-01-01")])]) == [("a", 7), ("b", 2), ("z", 9)]
+
+
+def test_metadata_comes_back_whole(spark, sf_dir):
+    kind = spark.read.parquet(f"{sf_dir}/loader_results.parquet").schema["metadata"].dataType
+    none = dict.fromkeys(kind.fieldNames())
+    long = "k" * 1500
+    data = [none | {"source": "MS Word", "producer": "w", "page": 3, "outlines": ['a "b"', "第一"], "extra": {long: "v"}}, none | {"outlines": []}]
+    df = spark.createDataFrame([(d,) for d in data], f"metadata {kind.simpleString()}")
+    back = [r.m for r in df.select(metadata.unflatten(metadata.flatten("metadata")).alias("m")).collect()]
+    assert [(m.source, m.producer, m.page, m.outlines, m.extra) for m in back] == [("MS Word", "w", 3, ['a "b"', "第一"], {long: "v"}), (None, None, None, [], {})]
