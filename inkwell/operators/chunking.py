@@ -18,24 +18,37 @@ def whole(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     )
 
 
-def packed(parts: Column, budget: int) -> Column:
-    """Greedy packs of an array of texts, joined by line breaks, each of at most ``budget`` characters.
+def bounded(parts: Column, budget: int) -> Column:
+    """The texts with each one above ``budget`` cut: after the last sentence that fits, else the last blank, else by characters.
+
+    The pieces of a text joined give it again.  Those that fit one budget together are one, so packing doesn't
+    put a line break where there was none.
+    """
+    less = budget - 1
+    cut = f"(?s)(.{{1,{budget}}}\\z|.{{0,{less}}}(?:[。！？]|[.!?](?=\\s))|.{{0,{less}}}\\s|.{{1,{budget}}})"
+    pieces = lambda p: packed(F.regexp_extract_all(p, F.lit(cut), F.lit(1)), budget, "")
+    return F.flatten(F.transform(parts, lambda p: F.when(F.length(p) > budget, pieces(p)).otherwise(F.array(p))))
+
+
+def packed(parts: Column, budget: int, joint: str = "\n") -> Column:
+    """Greedy packs of an array of texts, joined by line breaks or ``joint``, each of at most ``budget`` characters.
 
     A text above the budget is a pack of its own.  Works inside one row, so there is no shuffle.
     """
     empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"))
 
     def step(state: Column, part: Column) -> Column:
-        fits = state["open"].isNotNull() & (F.length(state["open"]) + 1 + F.length(part) <= budget)
+        fits = state["open"].isNotNull() & (F.length(state["open"]) + len(joint) + F.length(part) <= budget)
         closed = F.when(state["open"].isNull(), state["done"]).otherwise(F.concat(state["done"], F.array(state["open"])))
-        return F.struct(F.when(fits, state["done"]).otherwise(closed).alias("done"), F.when(fits, F.concat_ws("\n", state["open"], part)).otherwise(part).alias("open"))
+        return F.struct(F.when(fits, state["done"]).otherwise(closed).alias("done"), F.when(fits, F.concat_ws(joint, state["open"], part)).otherwise(part).alias("open"))
 
     return F.aggregate(parts, empty, step, lambda s: F.when(s["open"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["open"]))))
 
 
-def packed_lines(documents: DataFrame, doc_id: str, text: str, budget: int) -> DataFrame:
-    """(doc_id, chunk_index, total_chunks, content, chunk_size) from the lines that are not blank."""
+def packed_lines(documents: DataFrame, doc_id: str, text: str, budget: int, cut: bool = False) -> DataFrame:
+    """(doc_id, chunk_index, total_chunks, content, chunk_size) from the lines that are not blank; ``cut``: none above the budget."""
     lines = F.filter(F.transform(F.split(F.col(text), "\n"), strip), lambda line: line != "")
+    lines = bounded(lines, budget) if cut else lines
     chunks = documents.select(F.col(doc_id).alias("doc_id"), packed(lines, budget).alias("_packs"))
     one = chunks.select("doc_id", F.size("_packs").alias("total_chunks"), F.posexplode("_packs").alias("chunk_index", "content"))
     return one.select("doc_id", "chunk_index", "total_chunks", "content", F.length("content").alias("chunk_size"))
@@ -52,11 +65,11 @@ def under_headings(results: DataFrame, result_id: str, items: str) -> DataFrame:
     return rows.select("result_id", "item_no", "label", F.last(own, ignorenulls=True).over(before).alias("heading"), "text")
 
 
-def structural(results: DataFrame, result_id: str, items: str, budget: int) -> DataFrame:
+def structural(results: DataFrame, result_id: str, items: str, budget: int, cut: bool = False) -> DataFrame:
     """(result_id, heading_no, heading, chunk_index, total_chunks, content, chunk_size).
 
     Neighbouring items under the same heading share chunks up to the budget; list items stay apart from
-    paragraphs.  Headings are not content.
+    paragraphs.  Headings are not content.  ``cut``: no chunk is above the budget.
     """
     rows = under_headings(results, result_id, items).where(~F.col("label").isin("title", "section_header") & (strip(F.col("text")) != ""))
     kind = F.when(F.col("label") == "list_item", "list").otherwise("text")
@@ -66,7 +79,8 @@ def structural(results: DataFrame, result_id: str, items: str, budget: int) -> D
     grouped = marked.withColumn("heading_no", F.sum("_fresh").over(order)).groupBy("result_id", "heading_no").agg(
         F.first("heading").alias("heading"), F.sort_array(F.collect_list(F.struct("item_no", "text"))).alias("_items")
     )
-    packs = grouped.withColumn("_packs", packed(F.transform("_items", lambda i: i["text"]), budget))
+    texts = F.transform("_items", lambda i: i["text"])
+    packs = grouped.withColumn("_packs", packed(bounded(texts, budget) if cut else texts, budget))
     one = packs.select("result_id", "heading_no", "heading", F.posexplode("_packs").alias("_no", "content"))
     whole_ = Window.partitionBy("result_id")
     index = F.row_number().over(whole_.orderBy("heading_no", "_no")) - 1

@@ -52,6 +52,12 @@ def chunk_packed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.packed_lines(table(spark, sf_dir, "documents"), "doc_id", "text", 500)
 
 
+@query()
+def chunk_packed_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines above the budget are cut before they are packed."""
+    return chunking.packed_lines(table(spark, sf_dir, "documents"), "doc_id", "text", 500, cut=True)
+
+
 @query(f"""with recursive
 r as (select result_id, any_value(items) as items from loader_results where items is not null group by result_id),
 i as (select result_id, unnest(items, recursive := true) from r),
@@ -68,6 +74,13 @@ def chunk_structural(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.structural(results, "result_id", "items", 400)
 
 
+@query()
+def chunk_structural_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items above the budget are cut before they are packed."""
+    results = table(spark, sf_dir, "loader_results").where(F.col("items").isNotNull()).dropDuplicates(["result_id"])
+    return chunking.structural(results, "result_id", "items", 400, cut=True)
+
+
 @query(f"""
 with i as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from documents)
 select doc_id, line_no, {sql_strip('line')} as line, length({sql_strip('line')}) as size from i where {sql_strip('line')} <> ''""")

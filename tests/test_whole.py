@@ -1,10 +1,11 @@
 """Cases in which an operator once did less than the whole job."""
 
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
-from inkwell.operators import knn, metadata, retrieve, store
+from inkwell.operators import chunking, knn, metadata, retrieve, store
 from inkwell.streaming import ingest
 
 
@@ -64,3 +65,39 @@ def test_metadata_comes_back_whole(spark, sf_dir):
     df = spark.createDataFrame([(d,) for d in data], f"metadata {kind.simpleString()}")
     back = [r.m for r in df.select(metadata.unflatten(metadata.flatten("metadata")).alias("m")).collect()]
     assert [(m.source, m.producer, m.page, m.outlines, m.extra) for m in back] == [("MS Word", "w", 3, ['a "b"', "第一"], {long: "v"}), (None, None, None, [], {})]
+
+
+def _brute_cut(text, budget):
+    pieces = []
+    while len(text) > budget:
+        sentence = [i for i in range(1, budget + 1) if text[i - 1] in "。！？" or text[i - 1] in ".!?" and text[i : i + 1].isspace()]
+        blank = [i for i in range(1, budget + 1) if text[i - 1].isspace()]
+        at = (sentence or blank or [budget])[-1]
+        pieces.append(text[:at])
+        text = text[at:]
+    joined = [""]
+    for piece in [*pieces, text]:
+        if len(joined[-1]) + len(piece) <= budget:
+            joined[-1] += piece
+        else:
+            joined.append(piece)
+    return joined
+
+
+def test_long_texts_are_cut_to_the_budget(spark):
+    random.seed(4)
+    texts = ["".join(random.choice(chars) for _ in range(n)) for n in (40, 41, 500, 2000) for chars in ("abc def. ", "日本語。", "x", "a😀b 1.5! ", "ab。c. ")]
+    texts = [t.strip() for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.p for r in df.select("i", chunking.bounded(F.array("t"), 40).alias("p")).collect()}
+    assert got == {i: _brute_cut(t, 40) for i, t in enumerate(texts)}
+
+
+def test_no_chunk_is_above_the_budget(spark):
+    lines = spark.createDataFrame([(1, "a\n" + "y" * 300 + "\nb"), (2, "z" * 100)], "doc_id int, text string")
+    got = chunking.packed_lines(lines, "doc_id", "text", 100, cut=True).orderBy("doc_id", "chunk_index").collect()
+    assert [(r.doc_id, r.content, r.total_chunks) for r in got] == [(1, "a", 5), *[(1, "y" * 100, 5)] * 3, (1, "b", 5), (2, "z" * 100, 1)]
+    items = spark.createDataFrame([(1, [(0, "title", None, "T"), (1, "paragraph", None, "One is here. " * 30), (2, "paragraph", None, "end")])], "result_id bigint, items array<struct<item_no int, label string, level int, text string>>")
+    chunks = chunking.structural(items, "result_id", "items", 100, cut=True).orderBy("chunk_index").collect()
+    assert max(r.chunk_size for r in chunks) <= 100 and len(chunks) > 3
+    assert "".join(r.content for r in chunks).replace("\n", "") == "One is here. " * 30 + "end"
