@@ -140,6 +140,13 @@ def store_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.get(rows, "id", wanted).select("id", F.substring("content", 1, 40).alias("head")).distinct()
 
 
+@query("select id, content from chunks where id = (select min(id) from chunks) group by all")
+def store_get_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row of one id with its whole content."""
+    rows = table(spark, sf_dir, "chunks").select("id", "content")
+    return store.get(rows, "id", rows.agg(F.min("id")).first()[0]).distinct()
+
+
 @query("""
 select content, min(id) as kept, count(distinct id) as ids from chunks group by content having count(distinct id) > 1""")
 def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,3 +101,11 @@ def test_no_chunk_is_above_the_budget(spark):
     chunks = chunking.structural(items, "result_id", "items", 100, cut=True).orderBy("chunk_index").collect()
     assert max(r.chunk_size for r in chunks) <= 100 and len(chunks) > 3
     assert "".join(r.content for r in chunks).replace("\n", "") == "One is here. " * 30 + "end"
+
+
+def test_fetched_row_keeps_its_text(spark, tmp_path):
+    from inkwell.plans import tables
+
+    texts = ["x" * 40 + "one", "x" * 40 + "two"]
+    spark.createDataFrame([("a", t) for t in [*texts, texts[0]]] + [("b", "y")], "id string, content string").write.parquet(str(tmp_path / "chunks.parquet"))
+    assert sorted(r.content for r in tables.store_get_whole(spark, str(tmp_path)).collect()) == texts
