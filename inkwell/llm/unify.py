@@ -1,10 +1,11 @@
 """Problem 2: one consistent form for texts that look alike but differ in their characters.
 
 Characters with only one reading are replaced one by one (``plain_form``).  Look-alike letters of other
-scripts are repaired word by word: only in a word that mixes scripts, towards the word's dominant script,
-and first to a spelling that the corpus itself contains in one script (``unify``).  If no spelling of a
-mixed word is in the corpus vocabulary, the word takes its dominant script where every foreign letter has
-a look-alike there, because a word left mixed would still differ from the text that looks equal.
+scripts are repaired word by word: only in a word that mixes scripts, towards the spelling of the word's
+dominant script that the corpus itself contains, else of another script that it contains (``unify``).  The
+vocabulary is that of the plain forms of all texts.  If it has no spelling of a mixed word (names that occur
+once), the word takes its dominant script and the row is marked ``guessed``, because a word left mixed would
+still differ from the text that looks equal; a word with no whole spelling in one script stays as it is.
 
 Defined results: null stays null and counts as unchanged; an empty text stays empty; repeated rows get the
 same result; no row is dropped.  Columns named ``_u_*`` are used inside and do not reach the result.
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 CYRILLIC = "АВЕЅІЈКМНОРСТУХаеѕіјорсухԁһԛԝ"
 CYRILLIC_LATIN = "ABESIJKMHOPCTYXaesijopcyxdhqw"
 GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαιικνορυ"
-GREEK_LATIN = "ABEZHIKMNOPTYXaiiknopu"
+GREEK_LATIN = "ABEZHIKMNOPTYXaiikvopu"
 
 # Characters that are not seen.
 UNSEEN = (
@@ -138,33 +139,43 @@ def vocabulary(df: DataFrame, text: str) -> DataFrame:
 
 
 def repairs(words: DataFrame, vocab: DataFrame) -> DataFrame:
-    """``_u_word`` -> ``_u_fix`` for distinct mixed words: the first spelling in the vocabulary, else the first."""
+    """(_u_word, _u_fix, _u_known) for distinct mixed words: the first spelling in the vocabulary, else, unknown, the first."""
     forms = words.select("_u_word", F.posexplode(_spellings_udf("_u_word")).alias("_u_rank", "_u_form"))
-    known = forms.join(vocab.withColumn("_u_known", F.lit(True)), "_u_form", "left")
-    order = F.struct(F.col("_u_known").isNull().alias("a"), F.col("_u_rank").alias("b"))
-    return known.groupBy("_u_word").agg(F.min_by("_u_form", order).alias("_u_fix"))
+    known = forms.join(vocab.withColumn("_u_found", F.lit(True)), "_u_form", "left").withColumn("_u_known", F.col("_u_found").isNotNull())
+    order = F.struct((~F.col("_u_known")).alias("a"), F.col("_u_rank").alias("b"))
+    best = known.groupBy("_u_word").agg(F.min_by(F.struct("_u_form", "_u_known"), order).alias("_u_best"))
+    return best.select("_u_word", F.col("_u_best._u_form").alias("_u_fix"), F.col("_u_best._u_known").alias("_u_known"))
 
 
-def unify(df: DataFrame, keys: list[str], text: str, vocab: DataFrame) -> DataFrame:
-    """Rows (keys, text, unified, changed) for every input row.
+def unify(df: DataFrame, keys: list[str], text: str, vocab: DataFrame | None = None) -> DataFrame:
+    """Rows (keys, text, unified, changed, guessed) for every input row.
 
-    ``keys`` must identify the row; a null in a key is a value like others.  ``changed`` is true if the text was not in the consistent form, also
-    when a mixed word has no complete spelling in one script and so had to stay.
+    ``keys`` must identify the row; a null in a key is a value like others.  ``changed`` is true if the text was not
+    in the consistent form: its repair differs from it, or a mixed word has no complete spelling in one script and
+    so had to stay.  ``guessed`` is true if some mixed word has no spelling in the vocabulary, which is that of the
+    plain forms of ``df`` itself unless given.
     Only texts that hold a suspect character are sent to Python, and only those with a mixed word meet the
-    vocabulary.  The suspect texts, a small part of all, are kept, as three branches read them.
+    vocabulary.  The suspect texts, a small part of all, are kept in memory or on disk, as several branches read
+    them; the session's ``clearCache`` releases them.
     """
     rows = df.select(*keys, F.col(text).alias("_u_text"))
-    clean = rows.where(~F.coalesce(F.col("_u_text").rlike(SUSPECT), F.lit(False))).select(*keys, F.col("_u_text").alias(text), F.col("_u_text").alias("unified"), F.lit(False).alias("changed"))
+    sound = rows.where(~F.coalesce(F.col("_u_text").rlike(SUSPECT), F.lit(False)))
     odd = rows.where(F.col("_u_text").rlike(SUSPECT)).withColumn("_u_plain", _plain_udf("_u_text")).withColumn("_u_mixed", _mixed_udf("_u_plain"))
     odd = odd.persist(StorageLevel.MEMORY_AND_DISK)
-    plain = odd.where(F.size("_u_mixed") == 0).select(*keys, F.col("_u_text").alias(text), F.col("_u_plain").alias("unified"), ~F.col("_u_plain").eqNullSafe(F.col("_u_text")))
+    if vocab is None:
+        vocab = vocabulary(sound.select("_u_text").unionByName(odd.select(F.col("_u_plain").alias("_u_text"))), "_u_text")
+    columns = [*keys, text, "unified", "changed", "guessed"]
+    clean = sound.select(*keys, "_u_text", F.col("_u_text").alias("unified"), F.lit(False), F.lit(False))
+    plain = odd.where(F.size("_u_mixed") == 0).select(*keys, "_u_text", "_u_plain", ~F.col("_u_plain").eqNullSafe(F.col("_u_text")), F.lit(False))
     mixed = odd.where(F.size("_u_mixed") > 0)
     word = mixed.select(*keys, F.explode("_u_mixed").alias("_u_word"))
     fixes = repairs(word.select("_u_word").distinct(), vocab)
-    per_text = word.join(fixes, "_u_word", "left").groupBy(*keys).agg(F.collect_list(F.struct("_u_word", F.coalesce("_u_fix", "_u_word").alias("_u_fix"))).alias("_u_fixes"))
-    named = per_text.select(*(F.col(k).alias(f"_u_{k}") for k in keys), "_u_fixes")
-    same = reduce(Column.__and__, (mixed[k].eqNullSafe(named[f"_u_{k}"]) for k in keys))
-    respelt = mixed.join(named, same).select(
-        *(mixed[k] for k in keys), F.col("_u_text").alias(text), _respell_udf("_u_plain", F.col("_u_fixes._u_word"), F.col("_u_fixes._u_fix")).alias("unified"), F.lit(True)
+    fix = F.struct("_u_word", F.coalesce("_u_fix", "_u_word").alias("_u_fix"))
+    per_text = word.join(fixes, "_u_word", "left").groupBy(*keys).agg(
+        F.collect_list(fix).alias("_u_fixes"), F.max(F.col("_u_fix").isNull()).alias("_u_stays"), F.max(~F.coalesce("_u_known", F.lit(False))).alias("_u_guessed")
     )
-    return clean.unionByName(plain.toDF(*keys, text, "unified", "changed")).unionByName(respelt.toDF(*keys, text, "unified", "changed"))
+    named = per_text.select(*(F.col(k).alias(f"_u_{k}") for k in keys), "_u_fixes", "_u_stays", "_u_guessed")
+    same = reduce(Column.__and__, (mixed[k].eqNullSafe(named[f"_u_{k}"]) for k in keys))
+    respelt = mixed.join(named, same).withColumn("_u_unified", _respell_udf("_u_plain", F.col("_u_fixes._u_word"), F.col("_u_fixes._u_fix")))
+    respelt = respelt.select(*(mixed[k] for k in keys), "_u_text", "_u_unified", ~F.col("_u_unified").eqNullSafe(F.col("_u_text")) | F.col("_u_stays"), "_u_guessed")
+    return clean.toDF(*columns).unionByName(plain.toDF(*columns)).unionByName(respelt.toDF(*columns))

@@ -71,13 +71,27 @@ def test_plain_form(text, plain):
 def test_mixed_words_are_repaired_towards_the_corpus(spark):
     data = [(1, "the grammar"), (2, "thе grаmmar"), (3, "рест"), (4, None), (5, ""), (6, "αβq"), (2, "thе grаmmar"), (7, "x" * 100_000 + "​")]
     df = spark.createDataFrame([(i, t, "k") for i, t in data], "id int, text string, unified string").drop("unified")
-    got = unify.unify(df.dropDuplicates(), ["id"], "text", unify.vocabulary(df, "text")).collect()
+    got = unify.unify(df.dropDuplicates(), ["id"], "text").collect()
     by = {r.id: (r.unified, r.changed) for r in got}
+    assert {r.id for r in got if r.guessed} == {6}
     assert len(got) == 7
     assert by[2] == ("the grammar", True) and by[1] == ("the grammar", False) and by[3][1] is False and by[4] == (None, False) and by[5] == ("", False)
     assert by[6][1] is True and by[7] == ("x" * 100_000, True)
 
 
+def test_vocabulary_is_of_plain_forms_and_decides_between_scripts(spark):
+    df = spark.createDataFrame([(1, "Ｒeview"), (2, "Reνіew"), (3, "сор"), (4, "cор")], "id int, text string")
+    assert {r.id: (r.unified, r.changed, r.guessed) for r in unify.unify(df, ["id"], "text").collect()} == {
+        1: ("Review", True, False), 2: ("Review", True, False), 3: ("сор", False, False), 4: ("сор", True, False)}
+
+
+def test_what_is_found_comes_from_the_repair(spark, sf_dir):
+    from inkwell.llm import queries
+
+    plan = queries.p2_found(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_spellings_udf" in plan and "_respell_udf" in plan and "_u_found" in plan
+
+
 def test_prefilter_sees_all_that_changes(spark):
     texts = [chr(c) for c in range(1, 0x20000) if not 0xD800 <= c < 0xE000]
     df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(4)
@@ -159,10 +173,11 @@ def test_pieces_give_the_text_back(spark):
     texts = ["".join(random.choices("abcdefgh 。\n", k=random.randrange(0, 900))) + "z" * random.choice([0, 0, 150]) for _ in range(40)] + ["", "# a\n" + "b c. " * 90]
     df = spark.createDataFrame([(i, t, "md", "x") for i, t in enumerate(texts)] + [(99, None, "md", "x"), (98, "q" * 500, "none", "x"), (0, texts[0], "md", "x")], "k int, content string, file_type string, plan string")
     limits = spark.createDataFrame([("md", 100, 10)], "file_type string, max_chars int, overlap_chars int")
-    over = split.oversized(df, ["k"], "content", "file_type", limits)
+    arguments = (df, ["k"], "content", "file_type", limits)
+    over = split.oversized(*arguments)
     assert {r.k for r in over.collect()} == {i for i, t in enumerate(texts) if len(t) > 100}
     by = {}
-    for r in split.pieces(over, ["k"], tokens.DEFAULT).orderBy("k", "chunk_info.chunk_index").collect():
+    for r in split.pieces(*arguments, tokens.DEFAULT).orderBy("k", "chunk_info.chunk_index").collect():
         assert len(r.piece) <= 100 and r.chunk_info.chunk_size == len(r.piece) and r.piece == texts[r.k][r.start_pos : r.end_pos]
         by.setdefault(r.k, []).append(r)
     for k, parts in by.items():
@@ -171,7 +186,7 @@ def test_pieces_give_the_text_back(spark):
         assert all(p.chunk_info.total_chunks == len(parts) for p in parts)
         assert all(p.forced or p.end_pos == len(texts[k]) or texts[k][p.end_pos - 1] in split.STRETCH_END or texts[k][p.end_pos] in "#\n" for p in parts)
     for r in over.collect():
-        stretch = max(map(len, __import__("re").split("[ \n　。！？.!?]", r.text)))
+        stretch = max(map(len, __import__("re").split("[ \n　。！？.!?]", texts[r.k])))
         assert r.cut == ("forced" if stretch > 100 else "natural")
 
 
@@ -181,6 +196,24 @@ def test_headings_are_kept_with_their_text():
     assert [text[s:e].startswith("#") for s, e in zip([0, *ends], ends)] == [True, True] and not any(inside) and not long
 
 
+@pytest.mark.parametrize("text, most, pieces", [
+    ("# A\n" + "a" * 10 + " " + "b" * 10 + "\n\n# B\ncccc.", 20, ["# A\naaaaaaaaaa ", "bbbbbbbbbb\n\n", "# B\ncccc."]),
+    ("# A\naa.\n\n## B\nbb.\n\n# C\ncccc.", 20, ["# A\naa.\n\n## B\nbb.\n\n", "# C\ncccc."]),
+    ("```\n# no heading\nx = 1\n```\n\nend of it.", 30, ["```\n# no heading\nx = 1\n```\n\n", "end of it."]),
+    ("- one item\n  - inner a\n  - inner b\n- two item\n", 36, ["- one item\n  - inner a\n  - inner b\n", "- two item\n"]),
+    ("- one item\n  - inner a\n  - inner b\n- two item\n", 24, ["- one item\n  - inner a\n", "  - inner b\n- two item\n"]),
+])
+def test_pieces_follow_the_tree(text, most, pieces):
+    ends, _, _ = split.cut(text, most, 0)
+    assert [text[s:e] for s, e in zip([0, *ends], ends)] == pieces
+
+
+def test_long_texts_are_cut_in_linear_time():
+    text = "".join(f"# H{i}\n" + "word and word. " * 40 + "\n- a\n- b\n" for i in range(3000))
+    ends, _, _ = split.cut(text, 400, 20)
+    assert ends[-1] == len(text) and max(b - a for a, b in zip([0, *ends], ends)) <= 380
+
+
 # ---------------------------------------------------------------- 6
 
 def test_plan_fills_and_never_overflows():
@@ -218,7 +251,7 @@ def test_documents_take_the_slots(spark):
 
 def test_token_counts(spark):
     df = spark.createDataFrame([("hello world",), ("",), (None,), ("日本語 " * 20_000,)], "t string")
-    got = [r[0] for r in df.select(tokens.count_tokens(F.col("t"))).collect()]
+    got = [r[0] for r in df.select(tokens.count_tokens(spark, F.col("t"))).collect()]
     assert 2 <= got[0] <= 3 and got[1] == got[2] == 0 and got[3] > 20_000
 
 
@@ -286,7 +319,7 @@ def test_rows_without_keys_do_no_harm(spark, sf_dir, model):
     evals = spark.createDataFrame([(None, None, None, None, None), (2**60 + 1, None, None, "?", "x")], EVAL)
     assert rows(pairs.defects(evals)) == [(2**60 + 1, "reference", "empty"), (2**60 + 1, "response", "empty")]
     texts = spark.createDataFrame([(None, "thе word"), (1, "the word")], "id int, text string")
-    assert {(r.id, r.unified) for r in unify.unify(texts, ["id"], "text", unify.vocabulary(texts, "text")).collect()} == {(None, "the word"), (1, "the word")}
+    assert {(r.id, r.unified) for r in unify.unify(texts, ["id"], "text").collect()} == {(None, "the word"), (1, "the word")}
     pages = scanned(spark, [(None, None, None, None, None, None, None), ("t", None, None, "image", None, None, "·7·\nThe rec0rding was"), ("t", "1", None, "image", None, None, "")])
     assert scans.traces(pages, model).where("kind = 'misread'").count() == 1
     docs = spark.createDataFrame([(None, "a" * 50, None), (2**60 + 1, "a" * 50, "en")], "doc_id bigint, text string, lang string")
