@@ -18,7 +18,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(tbl, field, rec_key, entry, text, unified, changed) of all texts that problem 2 names."""
+    """(tbl, field, rec_key, entry, text, unified, changed, guessed) of all texts that problem 2 names."""
     gold = table(spark, sf_dir, "jp_reference")
     line = F.col("line_no").cast("string").alias("rec_key")
     texts = (
@@ -26,8 +26,7 @@ def p2_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .unionByName(gold.select(F.lit("jp_reference").alias("tbl"), F.lit("query").alias("field"), line, F.lit(0).alias("entry"), F.col("query").alias("text")))
         .unionByName(gold.select(F.lit("jp_reference").alias("tbl"), F.lit("keywords").alias("field"), line, F.posexplode("keywords").alias("entry", "text")))
     )
-    keys = ["tbl", "field", "rec_key", "entry"]
-    return unify.unify(texts, keys, "text", unify.vocabulary(texts, "text"))
+    return unify.unify(texts, ["tbl", "field", "rec_key", "entry"], "text")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,25 +54,44 @@ def p3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = contents(spark, sf_dir).where(F.col("file_type").isin("markdown", "docx", "string")).dropDuplicates(["tbl", "rec_key"])
-    return texts.select("tbl", "rec_key", F.explode(sentences.sentence_ends(F.col("content"))).alias("end_pos"))
+    """Ends are found before repeated keys are dropped, so that contents are never shuffled."""
+    texts = contents(spark, sf_dir).where(F.col("file_type").isin("markdown", "docx", "string"))
+    ends = texts.select("tbl", "rec_key", sentences.sentence_ends(F.col("content")).alias("ends")).where(F.size("ends") > 0)
+    return ends.groupBy("tbl", "rec_key").agg(F.max("ends").alias("ends")).select("tbl", "rec_key", F.explode("ends").alias("end_pos"))
 
 
-def _oversized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split.oversized(contents(spark, sf_dir), ["tbl", "rec_key"], "content", "file_type", table(spark, sf_dir, "split_limits"))
+def _limited(spark: SparkSession, sf_dir: str) -> tuple:
+    return contents(spark, sf_dir), ["tbl", "rec_key"], "content", "file_type", table(spark, sf_dir, "split_limits")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _oversized(spark, sf_dir).select("tbl", "rec_key", "cut")
+    return split.oversized(*_limited(spark, sf_dir)).select("tbl", "rec_key", "cut")
 
 
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split.pieces(_oversized(spark, sf_dir), ["tbl", "rec_key"], tokens.DEFAULT)
+    return split.pieces(*_limited(spark, sf_dir), tokens.DEFAULT)
+
+
+def p5_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tbl, rec_key, chars, within, overlapping, numbered): of each divided text whether its pieces keep the limit, repeat the
+    overlap, are numbered rightly, and the characters that they give back without what they repeat."""
+    limits = F.broadcast(table(spark, sf_dir, "split_limits"))
+    types = contents(spark, sf_dir).select("tbl", "rec_key", "file_type").dropDuplicates(["tbl", "rec_key"])
+    pieces = p5_pieces(spark, sf_dir).select("tbl", "rec_key", F.length("piece").alias("n"), "start_pos", "end_pos", "chunk_info").join(types, ["tbl", "rec_key"]).join(limits, "file_type")
+    last = F.max_by("end_pos", "chunk_info.chunk_index")
+    starts = F.sort_array(F.collect_list("start_pos"))
+    ends = F.sort_array(F.collect_list("end_pos"))
+    overlap = F.first("overlap_chars")
+    repeated = F.forall(F.zip_with(F.slice(starts, F.lit(2), F.greatest(F.count("*").cast("int") - 1, F.lit(0))), ends, lambda s, e: s.isNull() | (s == F.greatest(e - overlap, F.lit(0)))), lambda x: x)
+    return pieces.groupBy("tbl", "rec_key").agg(
+        last.alias("chars"), (F.max("n") <= F.first("max_chars")).alias("within"), repeated.alias("overlapping"),
+        ((F.count("*") == F.first("chunk_info.total_chunks")) & (F.max("chunk_info.chunk_index") + 1 == F.count("*")) & (F.sum(F.col("chunk_info.chunk_size") - F.col("n")) == 0)).alias("numbered"),
+    )
 
 
 def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    return documents.select("doc_id", tokens.count_tokens(F.col("text"), tokens.DEFAULT).alias("n_tokens"))
+    return documents.select("doc_id", tokens.count_tokens(spark, F.col("text"), tokens.DEFAULT).alias("n_tokens"))
 
 
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +135,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_texts": p2_texts, "p3_found": p3_found, "p3_paragraphs": p3_paragraphs, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_containers": p6_containers, "p6_unused": p6_unused, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_segments": p8_segments, "p8_documents": p8_documents}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_texts": p2_texts, "p3_found": p3_found, "p3_paragraphs": p3_paragraphs, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p5_checked": p5_checked, "p6_containers": p6_containers, "p6_unused": p6_unused, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_segments": p8_segments, "p8_documents": p8_documents}
 
 
 def oracle_sql() -> dict[str, str]:

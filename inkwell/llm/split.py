@@ -1,23 +1,25 @@
 """Problem 5: cutting oversized texts at natural boundaries.
 
-Each text is read as a tree: sections under headings, paragraphs, lines and list items, sentences,
-words.  A subtree that fits is never opened; the parts of one that doesn't are merged again with their
-siblings, bottom-up, as far as the limit allows.  Only a stretch without any boundary that is longer
-than the room is cut between two characters.
+Each text is parsed once into a tree: sections under their headings, inside them paragraphs, lists and fenced
+code, inside those list items, sentences, lines and words.  A subtree that fits is never opened.  The parts of one that
+doesn't fit are merged with their whole siblings, bottom-up, as far as the limit allows; a piece reaches over a heading
+only if it holds whole sections, and a heading goes with the first piece of its text where both fit.  Only a
+stretch without any boundary that is longer than the room is cut between two characters.
 
 Every piece but the first begins with the last ``overlap_chars`` characters of the piece before it, so
 new text has ``max_chars - overlap_chars`` characters of room.  Without those repeated characters the
 pieces give the text back, character by character.
 
 Defined results: null texts, texts of a type without a limit, and texts within the limit give no rows;
-an overlap of at least the limit is lowered to the limit less one; the columns of the input other than
-the named ones are not read.
+an overlap of at least the limit is lowered to the limit less one; repeated keys count once; the columns of the
+input other than the named ones are not read.
 """
 
 from __future__ import annotations
 
 import re
 from pathlib import Path
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,58 +27,156 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkwell.llm.sentences import unit_ends
-from inkwell.llm.tokens import count_tokens
+from inkwell.llm.tokens import token_count, vocabulary_file
 
 STRETCH_END = " \n　。！？.!?"
 _STRETCH = re.compile(f"[^{re.escape(STRETCH_END)}]+")
 _WORD_END = re.compile(f"[{re.escape(STRETCH_END)}]+")
-_HEADING = re.compile(r"^(#{1,6})[ \t]+\S.*$", re.MULTILINE)
-_PARAGRAPH = re.compile(r"\n[ \t　]*\n\s*")
-_LINE = re.compile(r"\n")
-
-
-def _cuts_sections(text: str, start: int, end: int, level: int) -> list[int]:
-    return [m.start() for m in _HEADING.finditer(text, start, end) if len(m.group(1)) == level]
-
-
-def _cuts(text: str, start: int, end: int, depth: int) -> list[int]:
-    """Where the children of a node begin, at one depth of the tree."""
-    if depth < 6:
-        return _cuts_sections(text, start, end, depth + 1)
-    if depth == 6:
-        return [m.end() for m in _PARAGRAPH.finditer(text, start, end)]
-    if depth == 7:
-        return [m.end() for m in _LINE.finditer(text, start, end)]
-    if depth == 8:
-        return [start + e for e in unit_ends(text[start:end])]
-    return [m.end() for m in _WORD_END.finditer(text, start, end)]
-
-
-def _pack(text: str, start: int, end: int, room: int, depth: int) -> list[tuple[int, int, bool]]:
-    """Spans of at most ``room`` characters that cover start to end; True if a span ends inside a stretch."""
-    if end - start <= room:
-        return [(start, end, False)]
-    if depth > 9:
-        return [(at, min(at + room, end), at + room < end) for at in range(start, end, room)]
-    edges = [start, *(c for c in _cuts(text, start, end, depth) if start < c < end), end]
+_HEADING = re.compile(r"(#{1,6})[ \t]+\S")
+_FENCE = re.compile(r"[ \t]{0,3}(`{3,}|~{3,})")
+_ITEM = re.compile(r"([ \t　]*)(?:[-*+•・‣◦][ 　]|[(（]?[0-9０-９]{1,3}[.．)）][ 　])")
+_LINE = re.compile(r"[^\n]*\n|[^\n]+")
+
+
+class Node(NamedTuple):
+    """A subtree; ``kind`` is section, heading, list, item, fence or paragraph, ``parts`` its children so far as they are parsed."""
+
+    kind: str
+    start: int
+    end: int
+    parts: list[Node]
+
+
+def blocks(text: str, start: int, end: int) -> list[tuple[str, int, int, int]]:
+    """(kind, level, start, end) of headings, lists, fences and paragraphs; blank lines belong to what precedes them."""
+    found: list[list] = []
+    fence, blank = "", True
+    for m in _LINE.finditer(text, start, end):
+        line, at, stop = m.group(), m.start(), m.end()
+        mark = _FENCE.match(line)
+        if fence:
+            found[-1][3] = stop
+            if mark and mark.group(1).startswith(fence) and not line[mark.end() :].strip():
+                fence, blank = "", True
+            continue
+        heading = _HEADING.match(line)
+        if not line.strip():
+            if found:
+                found[-1][3] = stop
+            else:
+                found.append(["paragraph", 0, at, stop])
+            blank = True
+            continue
+        if mark:
+            fence = mark.group(1)
+            found.append(["fence", 0, at, stop])
+        elif heading:
+            found.append(["heading", len(heading.group(1)), at, stop])
+            blank = True
+            continue
+        elif _ITEM.match(line):
+            if found and found[-1][0] == "list":
+                found[-1][3] = stop
+            else:
+                found.append(["list", 0, at, stop])
+        elif found and not blank and found[-1][0] in ("paragraph", "list"):
+            found[-1][3] = stop
+        elif found and found[-1][0] == "list" and line[0] in " \t　":
+            found[-1][3] = stop
+        else:
+            found.append(["paragraph", 0, at, stop])
+        blank = False
+    return [tuple(b) for b in found]
+
+
+def tree(text: str) -> Node:
+    """The text as sections within sections, each with its heading and blocks."""
+    root = Node("section", 0, len(text), [])
+    open_: list[tuple[int, list]] = [(0, ["section", 0, len(text), root.parts])]
+    for kind, level, start, end in blocks(text, 0, len(text)):
+        if kind == "heading":
+            while open_[-1][0] >= level:
+                _shut(open_, start)
+            open_.append((level, ["section", start, end, []]))
+        open_[-1][1][3].append(Node(kind, start, end, []))
+    while len(open_) > 1:
+        _shut(open_, len(text))
+    return root
+
+
+def _shut(open_: list[tuple[int, list]], end: int) -> None:
+    kind, start, _, parts = open_.pop()[1]
+    open_[-1][1][3].append(Node(kind, start, end, parts))
+
+
+def _items(text: str, node: Node) -> list[Node]:
+    """The items of a list, or those inside an item: the outermost ones, with what is indented below them."""
+    marks = [(m.start(), len(i.group(1))) for m in _LINE.finditer(text, node.start, node.end) if (i := _ITEM.match(m.group()))]
+    marks = [(at, depth) for at, depth in marks if node.kind == "list" or at > node.start]
+    if not marks:
+        return []
+    least = min(depth for _, depth in marks)
+    edges = [node.start, *(at for at, depth in marks if depth == least and at > node.start), node.end]
+    return [Node("item", a, b, []) for a, b in zip(edges, edges[1:])]
+
+
+def _opened(text: str, node: Node) -> list[Node]:
+    """The children of a node; [] if it is one word."""
+    if node.parts:
+        return node.parts
+    start, end = node.start, node.end
+    if node.kind in ("list", "item"):
+        inner = _items(text, node)
+        if len(inner) > 1:
+            return inner
+    cuts = {
+        "fence": lambda: [m.end() for m in _LINE.finditer(text, start, end)],
+        "sentence": lambda: [m.end() for m in _LINE.finditer(text, start, end)],
+        "line": lambda: [m.end() for m in _WORD_END.finditer(text, start, end)],
+        "word": lambda: [],
+    }.get(node.kind, lambda: [start + e for e in unit_ends(text[start:end])])()
+    below = {"fence": "line", "sentence": "line", "line": "word", "word": "word"}.get(node.kind, "sentence")
+    edges = [start, *(c for c in cuts if start < c < end), end]
     if len(edges) == 2:
-        return _pack(text, start, end, room, depth + 1)
-    packed: list[tuple[int, int, bool]] = []
-    for a, b in zip(edges, edges[1:]):
-        for s, e, forced in [(a, b, False)] if b - a <= room else _pack(text, a, b, room, depth + 1):
-            if packed and not packed[-1][2] and e - packed[-1][0] <= room:
-                packed[-1] = (packed[-1][0], e, forced)
+        return [] if node.kind in ("word", "line") else [Node(below, start, end, [])]
+    return [Node(below, a, b, []) for a, b in zip(edges, edges[1:])]
+
+
+class Piece(NamedTuple):
+    start: int
+    end: int
+    inside: bool = False  # ends inside a stretch
+    whole: bool = True  # holds whole parts of one section
+    lead: bool = False  # headings alone
+
+
+def _pack(text: str, node: Node, room: int, stretches: list[int]) -> list[Piece]:
+    """Pieces of at most ``room`` characters that cover a node; the longest stretch of each opened block goes to ``stretches``."""
+    if node.end - node.start <= room:
+        return [Piece(node.start, node.end, lead=node.kind == "heading")]
+    if node.kind in ("heading", "list", "fence", "paragraph"):  # blocks end at line breaks, so stretches lie inside them
+        stretches.append(max((m.end() - m.start() for m in _STRETCH.finditer(text, node.start, node.end)), default=0))
+    parts = _opened(text, node)
+    if not parts:
+        return [Piece(at, min(at + room, node.end), at + room < node.end, False) for at in range(node.start, node.end, room)]
+    packed: list[Piece] = []
+    for part in parts:
+        section, fits = part.kind == "section", part.end - part.start <= room
+        for number, piece in enumerate([Piece(part.start, part.end, lead=part.kind == "heading")] if fits else _pack(text, part, room, stretches)):
+            last = packed[-1] if packed else None
+            joins = last is not None and not last.inside and piece.end - last.start <= room and (last.whole or not section) and (fits or not section or last.lead and not number)
+            if joins:
+                packed[-1] = Piece(last.start, piece.end, piece.inside, last.whole and piece.whole and fits, last.lead and piece.lead)
             else:
-                packed.append((s, e, forced))
+                packed.append(piece._replace(whole=piece.whole and fits))
     return packed
 
 
 def cut(text: str, max_chars: int, overlap_chars: int) -> tuple[list[int], list[bool], bool]:
     """Ends of the pieces, whether each is cut inside a stretch, and whether a stretch exceeds max_chars."""
-    room = max(1, max_chars - overlap_chars)
-    spans = _pack(text, 0, len(text), room, 0)
-    longest = max((m.end() - m.start() for m in _STRETCH.finditer(text)), default=0)
-    return [e for _, e, _ in spans], [forced for _, _, forced in spans], longest > max_chars
+    stretches: list[int] = []
+    packed = _pack(text, tree(text), max(1, max_chars - overlap_chars), stretches)
+    return [p.end for p in packed], [p.inside for p in packed], max(stretches, default=0) > max_chars
 
 
 _PLAN = T.StructType().add("ends", T.ArrayType(T.IntegerType())).add("inside", T.ArrayType(T.BooleanType())).add("unbroken", T.BooleanType())
@@ -88,29 +188,51 @@ def _cut_udf(texts: pd.Series, limits: pd.Series, overlaps: pd.Series) -> pd.Dat
     return pd.DataFrame({"ends": [r[0] for r in rows], "inside": [r[1] for r in rows], "unbroken": [r[2] for r in rows]})
 
 
-def oversized(df: DataFrame, keys: list[str], text: str, file_type: str, limits: DataFrame) -> DataFrame:
-    """One row for each text above its limit: keys, text, max_chars, overlap_chars, plan, cut.
+def _over(df: DataFrame, keys: list[str], text: str, file_type: str, limits: DataFrame) -> DataFrame:
+    """The texts above their limit: keys, text, max_chars, overlap_chars; the length decides in the JVM what Python must see.
 
     ``limits`` holds one row per file type, so it is as small as the list of types and is broadcast.
-    ``cut`` is 'forced' if a stretch without a boundary is itself above the limit, else 'natural'.
     """
     bounds = limits.select(F.col("file_type").alias("_type"), "max_chars", F.least("overlap_chars", F.col("max_chars") - 1).alias("overlap_chars"))
-    over = (
-        df.select(*keys, F.col(text).alias("text"), F.col(file_type).alias("_type"))
-        .join(F.broadcast(bounds), "_type").where(F.length("text") > F.col("max_chars")).dropDuplicates(keys)
-    )
-    plan = over.withColumn("plan", _cut_udf("text", "max_chars", "overlap_chars"))
-    return plan.select(*keys, "text", "max_chars", "overlap_chars", "plan", F.when(F.col("plan.unbroken"), "forced").otherwise("natural").alias("cut"))
+    rows = df.select(*keys, F.col(text).alias("text"), F.col(file_type).alias("_type"))
+    return rows.join(F.broadcast(bounds), "_type").where(F.length("text") > F.col("max_chars")).drop("_type")
+
 
+def oversized(df: DataFrame, keys: list[str], text: str, file_type: str, limits: DataFrame) -> DataFrame:
+    """(keys, pieces, cut) of each text that the tree divides: how many pieces, and 'forced' if a stretch without a boundary is itself above the limit, else 'natural'.
 
-def pieces(plan: DataFrame, keys: list[str], tokenizer: str | Path) -> DataFrame:
-    """One row per piece: keys, piece, start_pos, end_pos, forced and a right chunk_info."""
-    one = plan.select(*keys, "text", "overlap_chars", "plan", F.posexplode("plan.ends").alias("chunk_index", "end_pos"))
-    fresh = F.when(F.col("chunk_index") > 0, F.element_at("plan.ends", F.col("chunk_index"))).otherwise(F.lit(0))
-    start = F.greatest(F.lit(0), F.col("_fresh") - F.when(F.col("chunk_index") > 0, F.col("overlap_chars")).otherwise(F.lit(0)))
-    cutout = one.withColumn("_fresh", fresh).withColumn("start_pos", start.cast("int")).withColumn("piece", F.expr("substring(text, start_pos + 1, end_pos - start_pos)"))
+    Repeated keys are dropped after the cut, so that contents are never shuffled.
+    """
+    plan = _over(df, keys, text, file_type, limits).withColumn("plan", _cut_udf("text", "max_chars", "overlap_chars"))
+    kind = F.when(F.col("plan.unbroken"), "forced").otherwise("natural")
+    divided = plan.select(*keys, F.size("plan.ends").alias("pieces"), kind.alias("cut")).where(F.col("pieces") > 1)
+    return divided.groupBy(*keys).agg(F.max("pieces").alias("pieces"), F.min("cut").alias("cut"))
+
+
+def pieces(df: DataFrame, keys: list[str], text: str, file_type: str, limits: DataFrame, tokenizer: str | Path) -> DataFrame:
+    """One row per piece of each text above its limit: keys, piece, start_pos, end_pos, forced and a right chunk_info.
+
+    The pieces are cut where their ends are found, so a text goes to Python once and comes back once.
+    """
+    name = vocabulary_file(df.sparkSession, tokenizer)
+
+    @F.pandas_udf("array<struct<piece: string, start_pos: int, end_pos: int, forced: boolean, chunk_tokens: int>>")
+    def cut_out(texts: pd.Series, limit: pd.Series, overlaps: pd.Series) -> pd.Series:
+        def one(content: str, most: int, overlap: int) -> list[dict]:
+            ends, inside, _ = cut(content, most, overlap)
+            starts = [0, *(max(0, e - overlap) for e in ends)]
+            return [
+                {"piece": content[s:e], "start_pos": s, "end_pos": e, "forced": f, "chunk_tokens": token_count(content[s:e], name)}
+                for s, e, f in zip(starts, ends, inside)
+            ]
+
+        return pd.Series([one(*row) for row in zip(texts, limit, overlaps)], dtype=object)
+
+    once = _over(df, keys, text, file_type, limits).dropDuplicates(keys)
+    cut_ = once.select(*keys, cut_out("text", "max_chars", "overlap_chars").alias("_cut"))
+    one = cut_.select(*keys, F.size("_cut").alias("_total"), F.posexplode("_cut").alias("_index", "_piece"))
     info = F.struct(
-        F.col("chunk_index").cast("int").alias("chunk_index"), F.size("plan.ends").alias("total_chunks"),
-        F.length("piece").alias("chunk_size"), count_tokens(F.col("piece"), tokenizer).alias("chunk_tokens"),
+        F.col("_index").cast("int").alias("chunk_index"), F.col("_total").alias("total_chunks"),
+        F.length("_piece.piece").alias("chunk_size"), F.col("_piece.chunk_tokens").alias("chunk_tokens"),
     )
-    return cutout.select(*keys, "piece", "start_pos", "end_pos", F.element_at("plan.inside", F.col("chunk_index") + 1).alias("forced"), info.alias("chunk_info"))
+    return one.select(*keys, "_piece.piece", "_piece.start_pos", "_piece.end_pos", "_piece.forced", info.alias("chunk_info"))
