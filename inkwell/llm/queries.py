@@ -56,7 +56,7 @@ def p3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ends are found before repeated keys are dropped, so that contents are never shuffled."""
     texts = contents(spark, sf_dir).where(F.col("file_type").isin("markdown", "docx", "string"))
-    ends = texts.select("tbl", "rec_key", sentences.sentence_ends(F.col("content")).alias("ends")).where(F.size("ends") > 0)
+    ends = texts.select("tbl", "rec_key", sentences.sentence_ends(F.col("content")).alias("ends"))
     return ends.groupBy("tbl", "rec_key").agg(F.max("ends").alias("ends")).select("tbl", "rec_key", F.explode("ends").alias("end_pos"))
 
 

@@ -205,8 +205,8 @@ def oversized(df: DataFrame, keys: list[str], text: str, file_type: str, limits:
     """
     plan = _over(df, keys, text, file_type, limits).withColumn("plan", _cut_udf("text", "max_chars", "overlap_chars"))
     kind = F.when(F.col("plan.unbroken"), "forced").otherwise("natural")
-    divided = plan.select(*keys, F.size("plan.ends").alias("pieces"), kind.alias("cut")).where(F.col("pieces") > 1)
-    return divided.groupBy(*keys).agg(F.max("pieces").alias("pieces"), F.min("cut").alias("cut"))
+    cut_ = plan.select(*keys, F.size("plan.ends").alias("pieces"), kind.alias("cut")).groupBy(*keys).agg(F.max("pieces").alias("pieces"), F.min("cut").alias("cut"))
+    return cut_.where(F.col("pieces") > 1)
 
 
 def pieces(df: DataFrame, keys: list[str], text: str, file_type: str, limits: DataFrame, tokenizer: str | Path) -> DataFrame:
