@@ -269,7 +269,7 @@ def test_passages_against_brute_force(spark):
         part = text[at : at + n].upper()
         docs.append((d, word(30) + " " + " ,".join(part[i : i + 7] for i in range(0, len(part), 7)) + word(30), "x"))
     docs += [(500, None, "x"), (501, "", "x"), (0, docs[0][1], "x")]
-    got = rows(leaks.leaks(spark.createDataFrame(docs, "doc_id bigint, text string, lang string"), spark.createDataFrame(items, "item_id bigint, text string, lang string, section string"), block=5).select("doc_id", "item_id"))
+    got = rows(leaks.leaks(spark.createDataFrame(docs, "doc_id bigint, text string, lang string"), spark.createDataFrame(items, "item_id bigint, text string, lang string, section string")).select("doc_id", "item_id"))
     want = set()
     for d, text, _ in docs:
         for i, item, lang, _ in items:
@@ -279,6 +279,18 @@ def test_passages_against_brute_force(spark):
     assert set(got) == want and len(got) == len(want) > 20
 
 
+def test_joined_stretches_agree_with_broadcast_ones(spark, monkeypatch):
+    random.seed(8)
+    word = lambda n: "".join(random.choices("abcdef", k=n))
+    items = spark.createDataFrame([(i, word(200) + "a" * 90, "en") for i in range(8)], "item_id bigint, text string, lang string")
+    parts = [r.text for r in items.collect()]
+    docs = spark.createDataFrame([(d, word(50) + parts[d % 8][d : d + 35 + d % 20] + word(50) + ("a" * 60 if d % 9 == 0 else "")) for d in range(90)], "doc_id bigint, text string")
+    small = rows(leaks.leaks(docs, items))
+    monkeypatch.setattr(leaks, "SMALL", 0)
+    monkeypatch.setattr(leaks, "MOST_BITS", 1 << 16)
+    assert rows(leaks.leaks(docs, items)) == small and len(small) > 60
+
+
 def test_no_documents_or_items(spark):
     docs = spark.createDataFrame([(1, "a" * 50)], "doc_id bigint, text string")
     items = spark.createDataFrame([(1, "a" * 50, "en")], "item_id bigint, text string, lang string")
