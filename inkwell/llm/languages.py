@@ -1,7 +1,7 @@
 """Problem 8: the language of each document and of each of its segments.
 
 A multinomial naive Bayes model over hashed character 1- to 3-grams classifies each sentence unit, without
-what stands in quotation marks.  It is fitted twice on at most ``FIT_ROWS`` labelled documents per language:
+what stands in quotation marks.  It is fitted twice on about ``FIT_ROWS`` labelled documents per language:
 first as labelled, then on those sentences alone whose label the first model confirms, so that wrong labels
 and foreign passages leave the counts.  The log-probability matrix (``BUCKETS`` x 11 numbers) is of fixed size
 and broadcast; batches are scored in numpy.
@@ -22,7 +22,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from inkwell.llm.sentences import unit_spans
 
@@ -150,17 +149,21 @@ def _counts(labelled: DataFrame, prior) -> np.ndarray:
 
 
 def fit(documents: DataFrame, fit_rows: int = FIT_ROWS) -> np.ndarray:
-    """The log-probability matrix from at most ``fit_rows`` labelled documents per language, chosen by hash."""
-    rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    labelled = (
-        documents.select("doc_id", "text", named_language(F.col("lang")).alias("_lang"))
-        .where(F.col("_lang").isNotNull() & (F.length(F.trim("text")) > 0))
-        .withColumn("_rank", rank).where(F.col("_rank") <= fit_rows).select("text", "_lang")
-    )
-    labelled = labelled.repartition(max(2, documents.sparkSession.sparkContext.defaultParallelism)).persist()
-    first = documents.sparkSession.sparkContext.broadcast(_matrix(_counts(labelled, None)))
-    counts = _counts(labelled, first)
-    labelled.unpersist()
+    """The log-probability matrix from about ``fit_rows`` labelled documents per language, or all if there are fewer.
+
+    A language's documents are counted first, then those are taken whose hashed id lies in the share wanted: nothing
+    is ranked and no text is shuffled but those taken.
+    """
+    labelled = documents.select("doc_id", "text", named_language(F.col("lang")).alias("_lang")).where(F.col("_lang").isNotNull() & F.col("doc_id").isNotNull())
+    shares = {r["_lang"]: min(1.0, fit_rows / r["n"]) for r in labelled.groupBy("_lang").agg(F.count("*").alias("n")).collect()}
+    reach = reduce(lambda rest, pair: F.when(F.col("_lang") == pair[0], F.lit(pair[1])).otherwise(rest), sorted(shares.items()), F.lit(0.0))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    taken = labelled.where((place < reach) & (F.length(F.trim("text")) > 0)).select("text", "_lang")
+    taken = taken.repartition(max(2, documents.sparkSession.sparkContext.defaultParallelism)).persist()
+    first = documents.sparkSession.sparkContext.broadcast(_matrix(_counts(taken, None)))
+    counts = _counts(taken, first)
+    taken.unpersist()
+    first.unpersist()
     return _matrix(counts)
 
 
