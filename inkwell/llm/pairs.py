@@ -1,8 +1,9 @@
 """Problem 1: unusable answers of question-answer pairs, with the kind of defect.
 
 Copies are found by aligning question and answer: containment of the question's shingles, then the longest
-common subsequence, then what the alignment leaves over.  Refusals are found by aligning each sentence, without
-its quotations, with templates.  An answer that stops inside a sentence is told from one that merely lacks the
+common subsequence, then what the alignment leaves over, however often the question is repeated.  Refusals are found by
+aligning each sentence, without its quotations, with templates: phrases by their shingles, and skeletons of content
+words (who, can't or won't, answer or help) in order with what may stand between them.  An answer that stops inside a sentence is told from one that merely lacks the
 final mark by the corpus itself: the shape of its last sentence occurs complete elsewhere or it doesn't, which
 is a join on shapes, not a list held by each task.
 
@@ -16,6 +17,7 @@ import difflib
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark import StorageLevel
@@ -52,6 +54,55 @@ REFUSALS = (
     "답변할 수 없습니다", "답변드릴 수 없습니다", "도와드리기 어렵습니다", "판단할 수 없는", "답을 찾을 수 없습니다", "정보를 찾을 수 없", "정보가 없습니다", "정보가 부족", "답변을 삼가", "답변을 드리기 어렵", "답변하기 어렵",
     "의견을 말씀드리기", "의견을 드리기", "말씀드릴 수 없습니다", "능력 밖", "범위를 벗어", "모르겠습니다", "대답할 수 없습니다",
 )
+# Skeletons of refusals by language: lists of alternatives that follow each other in one clause.
+SKELETONS = {
+    "en": [
+        ("i |we |i'm |this assistant |the assistant |as an ai ", "cannot |can not |can't |could not |couldn't |unable |not able |won't |will not |would rather not |'d rather not |prefer not |decline|refuse|not allowed |not permitted |not in a position ", "answer|help with|help you|assist|respond|reply|comment|provide|tell you|say|share|discuss|judge|determine|find|locate"),
+        ("i |we ", "do not |don't ", "know the answer|know how to answer|have an answer|have enough information|have the information|have any information"),
+        ("this |that |the question |your question ", "cannot be |can't be |could not be ", "answered"),
+    ],
+    "zh": [
+        ("^|我|恕|這題|這个问题|這個問題|此題|目前|系統|助理|抱歉|對不起", "無法|无法|沒辦法|没办法|沒有辦法|不能|不便|恕難|難以|不方便|不願意|拒絕|恕不|未能", "回答|作答|答覆|回覆|協助您|協助你|幫您|幫你|評論|判斷|告訴您|告訴你|給出答案|提供答案|透露|解答"),
+        ("我|這題|這個問題|此題|抱歉", "答不出來|答不上來|答不了|回答不了|回答不出|幫不上忙|不知道怎麼回答|不知道該怎麼回答|不清楚答案"),
+        ("找不到|查無|沒有找到|未找到|查不到", "相關資料|相關資訊|相關內容|相關記載|答案|有關的資料"),
+    ],
+    "ja": [
+        ("回答|お答え|答え|お手伝い|コメント|ご案内|お伝え|お役", "できません|できかね|出来ません|致しかね|いたしかね|しかねます|控えさせて|いたしません|差し控え|遠慮させて"),
+        ("情報|記載|資料|答え|回答", "見つかりません|見当たりません|見つけられません"),
+        ("わかりかねます|分かりかねます|存じません|存じ上げません|お役に立てません",),
+    ],
+    "ko": [
+        ("답변|대답|답을|도움|도와|의견|판단|말씀|알려", "수 없습니다|수 없어요|수 없네요|어렵습니다|삼가|못합니다|않겠습니다|곤란합니다|불가능합니다"),
+        ("정보|자료|내용|답을|기록", "찾을 수 없|찾지 못|없어 답|없어서 답|부족"),
+        ("모르겠습니다|알 수 없습니다|잘 모르겠",),
+    ],
+    "de": [
+        ("kann|können|könnte|darf|möchte|will|werde|bin", "nicht|leider nicht|keine", "beantworten|antworten|weiterhelfen|helfen|beurteilen|dazu sagen|auskunft|stellung nehmen|in der lage"),
+        ("weiß|habe|finde|fand", "keine antwort|nicht die antwort|keine information|keine angaben|die antwort nicht"),
+    ],
+    "fr": [
+        ("je |nous ", "ne peux|ne puis|ne pouvons|ne pourrai|ne suis pas|ne sais pas|refuse|préfère ne pas|n'ai pas|n'ai trouvé|ne trouve", "répondre|aider|commenter|fournir|réponse|en mesure|information|renseign"),
+        ("je ne sais pas$|je ne sais pas[.]",),
+    ],
+    "es": [
+        ("no puedo|no podemos|no podría|no soy capaz|prefiero no|me niego a|no estoy en condiciones|no sé|no encuentro|no encontré", "responder|contestar|ayudar|comentar|decirle|decirte|proporcionar|respuesta|información"),
+    ],
+    "pt": [
+        ("não posso|não podemos|não consigo|não sou capaz|prefiro não|recuso|não sei|não encontrei|não encontro", "responder|ajudar|comentar|dizer|fornecer|resposta|informação|informações"),
+    ],
+    "vi": [("không thể|không biết|xin phép không|xin từ chối|từ chối|không tìm thấy|chưa thể", "trả lời|giúp|hỗ trợ|bình luận|cung cấp|câu trả lời|thông tin")],
+    "th": [("ไม่สามารถ|ไม่ทราบ|ไม่รู้|ขอไม่|ไม่พบ|ไม่อาจ", "ตอบ|ช่วย|ให้ข้อมูล|แสดงความเห็น|ข้อมูล|คำตอบ")],
+    "ru": [("не могу|не можем|не смогу|не в состоянии|отказываюсь|не знаю|не нашёл|не нашел|не удалось найти|затрудняюсь", "ответ|помочь|сказать|комментировать|предоставить|информац")],
+}
+#: Characters that may stand between two parts of a skeleton; a clause's end never does.
+REACH = {"zh": 8, "ja": 10, "ko": 10, "th": 30}
+# Apologies that neither answer nor refuse when they stand alone.
+APOLOGIES = (
+    "抱歉 很抱歉 非常抱歉 對不起 不好意思 申し訳ありません 申し訳ございません すみません ごめんなさい 죄송합니다 미안합니다 sorry imsorry iamsorry imverysorry myapologies iapologize unfortunately "
+    "tutmirleid estutmirleid leider désolé jesuisdésolé losiento losientomucho desculpe sintomuito xinlỗi ขออภัย ขอโทษ ขออภัยครับ ขออภัยค่ะ извините простите ксожалению"
+).split()
+
+
 # Words of the frames in which an answer repeats its question.
 FRAMES = (
     "您的問題是 你的問題是 您問的是 您問 關於 這個問題 的問題 問題 という ご質問 質問 ですね ですか です について のこと "
@@ -72,6 +123,7 @@ _PLACE = re.compile(
     r"|(?:(?:lesson|lessons|page|pages|p\.|unit|chapter|no\.|type)\s*\d+[\s,]*(?:and)?\s*)+", re.IGNORECASE)
 
 
+@lru_cache(maxsize=1 << 12)
 def key(text: str) -> str:
     """Letters and digits alone; case, width, styles and look-alikes are levelled."""
     return _NOT_ALNUM.sub("", unicodedata.normalize("NFKC", plain_form(text)).casefold().translate(_TO_LATIN))
@@ -126,15 +178,31 @@ def common_length(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
+def _skeleton(lang: str, slots: tuple[str, ...]) -> str:
+    between = f"[^.!?。！？；;\n]{{0,{REACH.get(lang, 40)}}}?"
+    return between.join(f"(?:{slot})" for slot in slots)
+
+
 _REFUSAL_KEYS = [(key(r), _shingles(key(r))) for r in REFUSALS]
 _CLOSING_KEYS = [(key(c), _shingles(key(c))) for c in CLOSINGS]
-_OPENER_KEYS = {key(o) for o in OPENERS}
+_OPENER_KEYS = {key(o) for o in OPENERS} | {key(a) for a in APOLOGIES}
+_SKELETON = re.compile("|".join(_skeleton(lang, slots) for lang, all_slots in SKELETONS.items() for slots in all_slots))
+#: Share of a sentence that must be a template's for the sentence to be no more than a closing.
+CLOSING_SHARE = 0.3
 
 
-def _aligned(unit: str, templates: list[tuple[str, set[str]]]) -> bool:
-    """Whether the unit holds a template, or nine tenths of the shingles of a long one."""
+def _aligned(unit: str, templates: list[tuple[str, set[str]]]) -> float:
+    """The share of the unit's shingles that a template explains which the unit holds, in whole or by nine tenths of its shingles."""
     own = _shingles(unit)
-    return any(t in unit or len(t) > 9 and len(parts & own) >= 0.9 * len(parts) for t, parts in templates)
+    return max((len(parts & own) / len(own) for t, parts in templates if t in unit or len(parts & own) >= max(0.9 * len(parts), 4)), default=0.0)
+
+
+def refuses(unit: str) -> bool:
+    """Whether a sentence, without its quotations, aligns with a phrase or a skeleton of refusals."""
+    plain = unquoted(unit)
+    if _aligned(key(plain), _REFUSAL_KEYS):
+        return True
+    return _SKELETON.search(re.sub(r"\s+", " ", unicodedata.normalize("NFKC", plain_form(plain)).casefold().replace("’", "'")).strip()) is not None
 
 
 def is_refusal(text: str) -> bool:
@@ -144,28 +212,43 @@ def is_refusal(text: str) -> bool:
         plain = key(unquoted(unit))
         if not plain or plain in _OPENER_KEYS:
             continue
-        if _aligned(plain, _REFUSAL_KEYS):
+        if refuses(unit):
             refused = True
-        elif not (len(plain) < 40 and _aligned(plain, _CLOSING_KEYS)):
+        elif _aligned(plain, _CLOSING_KEYS) < CLOSING_SHARE:
             return False
     return refused
 
 
-def is_copy(question: str, answer: str) -> bool:
-    """Whether the answer holds the question and, besides it, at most a frame."""
-    q, a = key(question), key(answer)
-    if len(q) < 4 or len(a) < 0.9 * len(q) or len(a) > 2 * len(q) + 30:
-        return False
-    if containment(q, a) < 0.85 or common_length(q, a) < 0.95 * len(q):
-        return False
+def _left(answer: str, question: str) -> str | None:
+    """What is left of an answer once one alignment of the question is taken out; None if it doesn't hold the question."""
+    if len(answer) < 0.9 * len(question) or containment(question, answer, min(3, len(question))) < 0.85 or common_length(question, answer) < 0.95 * len(question):
+        return None
+    at = answer.find(question)
+    if at >= 0:
+        return answer[:at] + answer[at + len(question) :]
     kept, at = [], 0
-    for block in difflib.SequenceMatcher(None, a, q, autojunk=False).get_matching_blocks():
+    for block in difflib.SequenceMatcher(None, answer, question, autojunk=False).get_matching_blocks():
         if block.size >= 2 or not block.size:
-            kept.append(a[at : block.a])
+            kept.append(answer[at : block.a])
             at = block.a + block.size
-    return _FRAME.fullmatch("".join(kept)) is not None
+    return "".join(kept)
+
+
+def is_copy(question: str, answer: str) -> bool:
+    """Whether the answer holds the question, once or repeated, and besides at most frames."""
+    q, a = key(question), key(answer)
+    left = _left(a, q) if q else None
+    if left is None:
+        return False
+    while _FRAME.fullmatch(left) is None:
+        again = _left(left, q)
+        if again is None or len(again) >= len(left):
+            return False
+        left = again
+    return True
 
 
+@lru_cache(maxsize=1 << 12)
 def _units(text: str) -> list[str]:
     return [text[s:e] for s, e in unit_spans(text)]
 
@@ -219,6 +302,7 @@ _LATIN_WORDS = {lang: set(words.split()) for lang, words in LATIN_WORDS.items()}
 _ZH_ONLY = set("這麼個們為說對的了是嗎呢吧頁還沒來時會過學與著裡讓")
 
 
+@lru_cache(maxsize=1 << 12)
 def language(text: str) -> str:
     """Language of a short text without its quotations; '' if unknown, 'zh ja' for ideographs of either."""
     text = unicodedata.normalize("NFKC", unquoted(without_openers(plain_form(text)))).lower()
@@ -254,6 +338,7 @@ ASKED = (
 )
 
 
+@lru_cache(maxsize=1 << 12)
 def wanted_language(question: str) -> str:
     plain = unicodedata.normalize("NFKC", unquoted(plain_form(question).translate(_TO_LATIN))).lower()
     for pattern, names in ASKED:
@@ -268,6 +353,7 @@ def is_other_language(question: str, answer: str) -> bool:
     return bool(got and wanted) and not set(got.split()) & set(wanted.split())
 
 
+@lru_cache(maxsize=1 << 12)
 def _examine(question: str, answer: str | None) -> tuple[str | None, str | None, list[str], bool]:
     if answer is None or is_empty(answer):
         return "empty", None, [], False
@@ -304,8 +390,10 @@ def defects(eval_rows: DataFrame) -> DataFrame:
     """
     seen = answers(eval_rows).mapInPandas(_examined, "row_id bigint, field string, defect string, tail string, shapes array<string>, other boolean")
     seen = seen.persist(StorageLevel.MEMORY_AND_DISK)
-    whole = seen.select(F.explode("shapes").alias("tail")).select(F.xxhash64("tail").alias("_tail")).distinct().withColumn("_whole", F.lit(True))
-    judged = seen.drop("shapes").withColumn("_tail", F.when(F.col("tail").isNotNull(), F.xxhash64("tail"))).join(whole, "_tail", "left")
-    broken = F.col("tail").isNotNull() & F.col("_whole").isNull()
-    kind = F.coalesce("defect", F.when(broken, "truncated"), F.when(F.col("other"), "other_lang"))
-    return judged.select("row_id", "field", kind.alias("defect")).where(F.col("defect").isNotNull())
+    whole = seen.select(F.explode("shapes").alias("tail")).select(F.xxhash64("tail").alias("_tail")).distinct()
+    # only answers with an ending to look up meet the join; whole ones, nearly all, stay where they are
+    doubtful = seen.where(F.col("defect").isNull() & F.col("tail").isNotNull()).select("row_id", "field", "other", F.xxhash64("tail").alias("_tail"))
+    broken = doubtful.join(whole, "_tail", "left_anti").select("row_id", "field", F.lit("truncated").alias("defect"))
+    kept = doubtful.where("other").join(whole, "_tail", "left_semi").select("row_id", "field", F.lit("other_lang").alias("defect"))
+    plain = seen.where(F.col("defect").isNotNull() | F.col("tail").isNull()).select("row_id", "field", F.coalesce("defect", F.when(F.col("other"), "other_lang")).alias("defect"))
+    return plain.where(F.col("defect").isNotNull()).unionByName(broken).unionByName(kept)

@@ -61,6 +61,8 @@ _OTHER = re.compile(f"[{_OTHER_RUN}]")
 _GREEK = re.compile("[\u0370-\u03ff\u1f00-\u1fff]")
 _CYRILLIC = re.compile("[\u0400-\u052f]")
 
+_MAYBE = re.compile(f"[{UNSEEN}{BLANKS}{BREAKS}{LETTERS}{KANA}{IDEOGRAPHS}{MARKS}]")
+
 
 def _java(ranges: str) -> str:
     """The inside of a character class for the JVM's patterns."""
@@ -73,6 +75,8 @@ SUSPECT = f"[{_java(UNSEEN + BLANKS + BREAKS + LETTERS + KANA + IDEOGRAPHS + MAR
 
 def plain_form(text: str) -> str:
     """The text with every character in its ordinary form; letters of other scripts are left alone."""
+    if not _MAYBE.search(text) and unicodedata.is_normalized("NFC", text):
+        return text
     text = _STYLED.sub(lambda m: unicodedata.normalize("NFKC", m.group()), text)
     text = _HALF_KANA.sub(lambda m: unicodedata.normalize("NFKC", m.group()), text)
     text = _RADICAL.sub(lambda m: unicodedata.normalize("NFKC", m.group()), text)

@@ -34,6 +34,32 @@ def test_defects(spark, answer, defect):
     assert rows(got) == ([(1, "response", defect)] if defect else [])
 
 
+# phrases that no template holds
+@pytest.mark.parametrize("answer", [
+    "I'm sorry, but I am not able to help with this request.", "I won't answer that.", "Sorry. We couldn't locate anything on this, and I'd rather not comment.", "很抱歉，這題我答不出來。", "我沒有辦法協助您處理這件事。",
+    "その質問には回答いたしかねます。", "申し訳ありませんが、お役に立てません。", "Ich kann diese Frage nicht beantworten.", "Je ne peux pas répondre à cette question.", "Lo siento. No puedo ayudarte con eso.",
+    "Não consigo responder a essa pergunta.", "Xin lỗi, tôi không thể trả lời câu hỏi này.", "ขออภัย ฉันไม่สามารถตอบคำถามนี้ได้ค่ะ", "К сожалению, я не могу ответить на этот вопрос.", "죄송합니다. 그 부분은 말씀드리기 어렵습니다.",
+])
+def test_refusals_in_other_words(answer):
+    assert pairs.is_refusal(answer)
+
+
+@pytest.mark.parametrize("answer", [
+    "可以說『很抱歉，這題我答不出來』。", "You can say \"I can't answer that\" politely.", "「回答できません」は丁寧な断り方です。", "『はい』不能接在名詞後面。", "The particle cannot be used after a verb.", "先に答えを書いてください。",
+    "I can't answer that one from memory. The polite form is ikimasu.", "Das Verb kann nicht am Anfang stehen.",
+])
+def test_answers_about_refusing_are_sound(answer):
+    assert not pairs.is_refusal(answer)
+
+
+@pytest.mark.parametrize("question, answer, copied", [
+    ("何ですか？", "何ですか？何ですか？何ですか？", True), ("何？", "何？", True), ("何？", "何でもありません。", False), ("書くのます形は", "您的問題是：書くのます形は　書くのます形は", True),
+    ("How is it said? " * 40, "How is it said? " * 120, True), ("How is it said?", "How is it said? It is said so.", False), ("", "x", False), ("？", "？", False),
+])
+def test_copies_of_any_length_and_number(question, answer, copied):
+    assert pairs.is_copy(question, answer) is copied
+
+
 def test_asked_language_is_wanted():
     assert pairs.wanted_language("請把『橋』這句話翻成英文。") == "en"
     assert pairs.wanted_language("想委婉拒絕別人的邀約，日語要怎麼說？") == "zh"
