@@ -34,10 +34,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scanned(spark: SparkSession, sf_dir: str):
-    """The scanned texts, once each, and the model of the others."""
+    """The scanned texts and the model of the others."""
     texts = contents(spark, sf_dir)
     scanned = (
-        texts.where(F.col("file_type").isin("pdf", "image") & F.col("content").isNotNull()).dropDuplicates(["tbl", "rec_key"])
+        texts.where(F.col("file_type").isin("pdf", "image") & F.col("content").isNotNull())
         .withColumn("file", F.coalesce("file_name", F.concat_ws(":", "tbl", "rec_key")))
     )
     plain = texts.where(F.col("content").isNotNull() & F.col("file_type").isin("markdown", "docx", "string", "xlsx"))

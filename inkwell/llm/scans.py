@@ -1,12 +1,15 @@
 """Problem 3: traces of the page and of recognition in scanned texts, and their repair.
 
-Three steps.  ``furniture`` finds running titles and page numbers: a number counts if its neighbours on other
+Four steps.  ``furniture`` finds running titles and page numbers: a number counts if its neighbours on other
 pages of the file continue it (or the page's own metadata say so), a title if the file repeats it or is called
 so, or if it is one elsewhere in the corpus and stands alone here; this evidence is gathered over all rows of a file by partial aggregation and joined back, never grouped in
-one task.  ``language_model`` counts character trigrams and words of the texts that were not scanned, hashed
-into arrays of fixed size, which are broadcast.  ``traces`` reads each text as one flow without the furniture
-and decodes it as a noisy channel: the probability of a confusion times the likelihood of trigrams and words,
-by Viterbi over the readings of each line.  ``repaired`` gives continuous paragraphs.
+one task.  ``language_model`` counts character trigrams, words and pairs of words of the texts that were not scanned, in
+hashed tables whose size follows the corpus up to a bound; the logarithms of the counts are broadcast.  ``channel``
+estimates how often each confusion happens: from all scanned texts, by the words and characters that are far rarer
+than what they may have been.  ``traces`` reads each text as one flow without the furniture and decodes it as a
+noisy channel: the probability of the confusions times the likelihood of the corpus, by Viterbi over the candidate
+words of each line (pairs of words) and, in scripts without blanks, over the candidate characters (trigrams).
+All likelihoods are ratios, so nothing depends on how large the corpus is.  ``repaired`` gives continuous paragraphs.
 
 Defined results: null texts give no rows and blank ones no traces; a row without a key keeps no furniture; a null file name makes the row a file of its own; repeated
 rows count once; without any unscanned text nothing is judged misread; other columns are not read.
@@ -14,33 +17,45 @@ rows count once; without any unscanned text nothing is judged misread; other col
 
 from __future__ import annotations
 
-import hashlib
 import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkwell.llm.unify import plain_form
+
 # Characters that recognition puts in place of others (read>meant).
 CHARACTERS = (
     "ほ>は レ>し 諜>課 一>ー 勤>動 旬>句 昔>音 丈>文 錬>練 貢>頁 詰>話 帥>師 だ>た つ>っ よ>ょ ゆ>ゅ や>ゃ 便>使 나>니 肋>助 디>다 ろ>る 슴>습 列>例 宇>字 力>カ "
     "復>複 複>復 続>読 さ>き 기>가 汽>氣 間>問 口>ロ 八>ハ 夕>タ 工>エ 二>ニ ぬ>め 千>チ"
 ).split()
 STRINGS = "c>e 0>o l>i o>a f>t 5>s ri>n b>h ii>u q>g 1>l rn>m vv>w d>cl m>rn I>l 0>O 5>S 1>i 8>B 6>b".split()
-BUCKETS = 1 << 22
-#: Log of the probability of a confusion, and the log-odds from which a reading is changed.
-CHANNEL = -3.5
+#: Places of a hashed table: the smallest that holds the corpus at ``CHARS_EACH`` characters a place, within these bounds.
+FEWEST, MOST, CHARS_EACH = 1 << 22, 1 << 23, 64
+#: Places that one row of a table holds on its way to the driver, and steps of one unit of log count.
+BLOCK, STEP = 1 << 16, 8
+#: Log of the probability of a confusion before any is estimated, and how much evidence that stands for.
+CHANNEL, PRIOR = -3.5, 200.0
+#: Log-odds from which a confusion counts as one while the channel is estimated.
+CERTAIN = 5.0
+#: Log-odds from which a reading is changed.
 CHANGE = 1.0
 #: Log-odds for the reading in the script of both neighbours: an ideograph hardly ever stands inside katakana.
 INSIDE = 6.0
 NAME_CHANGE = 4.0
-KNOWN = 3
+#: Log-odds that each letter beyond the second takes from a word that the corpus hasn't, as most spellings are no words.
+NOVELTY = 1.0
+#: Weight of pairs of words against single words, and log-odds by which a pair may speak for a reading.
+PAIRED, CONTEXT = 0.6, 6.0
 ROOM = 500_000
 
 _SWAPS: dict[str, list[str]] = {}
@@ -52,6 +67,8 @@ _RULES = [tuple(p.split(">")) for p in STRINGS]
 _WORD = re.compile(r"[A-Za-zÀ-ɏḀ-ỿЀ-ӿ가-힣0-9]+(?:[-'’][A-Za-zÀ-ɏḀ-ỿЀ-ӿ0-9]+)*")
 _LETTERED = re.compile(r"[A-Za-zÀ-ɏḀ-ỿЀ-ӿ가-힣]")
 _DIGITS = re.compile(r"[0-9０-９]")
+_BROKEN_OFF = re.compile(r"[.!?。！？\n]")
+_WIDE = re.compile("[\u1100-\u115f\u2e80-\u303e\u3041-\u33ff\u3400-\u4dbf\u4e00-\u9fff\ua000-\ua4cf\ua960-\ua97f\uac00-\ud7a3\uf900-\ufaff\ufe30-\ufe6f\uff01-\uff60\uffe0-\uffe6\U0001f300-\U0001faff\U00020000-\U0003fffd]")
 _HYPHENED = re.compile(r"[A-Za-zÀ-ɏḀ-ỿЀ-ӿ]([-‐‑‒–—¬­⁃~])\s*$")
 _JOINS = re.compile("[⺀-鿿豈-﫿＀-￯]")
 
@@ -127,7 +144,7 @@ def title_like(text: str) -> bool:
 
 def _columns(text: str) -> int:
     """Width in columns; wide characters take two."""
-    return sum(2 if unicodedata.east_asian_width(ch) in "WF" else 1 for ch in text)
+    return 2 * len(text) - len(_WIDE.sub("", text))
 
 
 def _parts(line: str) -> tuple[str, tuple[str, int] | None]:
@@ -154,19 +171,20 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             full = [i for i, line in enumerate(lines) if line.strip()]
             if not full:
                 continue
-            wide = sorted(w for w in (_columns(lines[i].strip()) for i in full) if w <= 110)
-            width = wide[len(wide) * 9 // 10] if wide else 0
+            wide = sorted(_columns(lines[i].strip()) for i in full)
+            wide = [w for w in wide if w <= 2 * wide[len(wide) // 2]]  # without lines that were never wrapped
+            width = wide[len(wide) * 9 // 10]
             body, own, seen = zlib.crc32(content.encode()), title_key(called or ""), []
             for i in full:
                 raw = lines[i]
                 line = raw.strip(" \t\x0c　\r")
-                if len(line) > 70:
+                edge = i in (full[0], full[-1]) or raw.startswith("\x0c") or i + 1 < len(lines) and lines[i + 1].startswith("\x0c")
+                if not edge and len(line) > 60 and not _GAP.search(line):  # inside a page a long line is text, unless a gap sets a number off
                     continue
                 title, number = _parts(line)
-                if number is None and (len(line) > 60 or _SENTENCE.search(line)):
+                if number is None and (not edge and len(line) > 60 or _SENTENCE.search(line)):
                     continue
                 key_ = title_key(title) if title else ""
-                edge = i in (full[0], full[-1]) or raw.startswith("\x0c") or i + 1 < len(lines) and lines[i + 1].startswith("\x0c")
                 second = i in (full[1:2] + full[-2:-1]) and (page_number(lines[full[0] if i == full[1] else full[-1]].strip(" \t\x0c　\r")) is not None)
                 if title and not number and not title_like(title):
                     continue
@@ -203,10 +221,11 @@ def _kind_udf(titles: pd.Series) -> pd.Series:
 def furniture(scanned: DataFrame) -> DataFrame:
     """(tbl, rec_key, line_no, header, pagenum) of the lines that belong to the page, not to the text.
 
-    ``scanned`` has tbl, rec_key, file, file_type, page, title, content, once per row.  The short lines that may
+    ``scanned`` has tbl, rec_key, file, file_type, page, title, content; repeated rows are dropped once lines are short.  The lines that may
     be furniture are kept, since all the evidence is gathered from them.
     """
-    found = scanned.where(F.col("content").isNotNull()).select("tbl", "rec_key", "file", F.when(F.col("file_type") == "image", F.col("page")).cast("bigint").alias("page"), "title", "content").mapInPandas(_candidates, _CANDIDATE)
+    found = scanned.select("tbl", "rec_key", "file", F.when(F.col("file_type") == "image", F.col("page")).cast("bigint").alias("page"), "title", "content").mapInPandas(_candidates, _CANDIDATE)
+    found = found.dropDuplicates(["tbl", "rec_key", "line_no"])
     found = found.withColumn("on_page", F.coalesce(F.col("page") == F.col("number"), F.lit(False))).persist(StorageLevel.MEMORY_AND_DISK)
     forms = found.where(F.col("form").isNotNull())
     known = forms.groupBy("file", "form", "number").agg(F.max(F.col("follows") | F.col("on_page")).alias("proved"), F.countDistinct("body").alias("bodies"))
@@ -215,7 +234,8 @@ def furniture(scanned: DataFrame) -> DataFrame:
     ).distinct()
     known = known.join(pairs, ["file", "form", "number"], "left").select("file", "form", "number", "proved", F.coalesce("after", F.lit(False)).alias("linked"))
     used = known.where("proved").select("file", "form").distinct().withColumn("form_used", F.lit(True))
-    judged = found.join(known, ["file", "form", "number"], "left").join(used, ["file", "form"], "left")
+    nothing = [F.lit(None).cast("boolean").alias(name) for name in ("proved", "linked", "form_used")]
+    judged = forms.join(known, ["file", "form", "number"]).join(used, ["file", "form"], "left").unionByName(found.where(F.col("form").isNull()).select("*", *nothing))
     weak = F.col("form").isin(*_WEAK)
     paged = F.col("page").isNotNull()
     number = F.when(paged, F.col("on_page")).otherwise(
@@ -231,7 +251,7 @@ def furniture(scanned: DataFrame) -> DataFrame:
     )
     often = F.when(F.col("by_page"), F.col("at_edge")).otherwise(F.col("times"))
     running = places.where(F.col("called") | (often >= 2) & F.col("short") | (often >= 4)).select("file", "title").distinct().withColumn("running", F.lit(True))
-    judged = judged.join(running, ["file", "title"], "left")
+    judged = judged.where(F.col("title") != "").join(running, ["file", "title"], "left").unionByName(judged.where(F.col("title") == "").withColumn("running", F.lit(None).cast("boolean")))
     called = scanned.where(F.col("title").isNotNull()).select("title").distinct().select(_kind_udf("title").alias("kind"))
     kinds = judged.where("running").select("kind").unionByName(called).where(F.length("kind") > 3).distinct().withColumn("kindred", F.lit(True))
     judged = judged.join(kinds, "kind", "left").withColumn("running", F.coalesce("running", F.when(F.col("short") & F.col("form").isNull(), F.col("kindred"))))
@@ -244,6 +264,15 @@ def furniture(scanned: DataFrame) -> DataFrame:
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _I1, _I2, _I3, _FULL = int(_M1), int(_M2), int(_M3), (1 << 64) - 1
 _MODEL_CHARS = np.array(sorted({ord(ch) for p in CHARACTERS for ch in (p[0], p[2])} | {ord(ch) for p in STRINGS for ch in p if ch != ">"}), np.uint32)
+_COUNTED = {chr(code) for code in _MODEL_CHARS.tolist()}
+_TRIGRAM, _WORDS, _PAIR = range(3)
+
+
+class Model(NamedTuple):
+    """Log counts of trigrams, words and pairs of words in hashed tables (steps of 1/STEP), and the number of words."""
+
+    tables: tuple[np.ndarray, np.ndarray, np.ndarray]
+    total: float
 
 
 def _codes(text: str) -> np.ndarray:
@@ -252,19 +281,28 @@ def _codes(text: str) -> np.ndarray:
     return codes
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = h ^ (h >> np.uint64(33))
+        h = h * np.uint64(0xFF51AFD7ED558CCD)
+        return h ^ (h >> np.uint64(29))
+
+
 def _trigram(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        h = a.astype(np.uint64) * _M1 ^ b.astype(np.uint64) * _M2 ^ c.astype(np.uint64) * _M3
-        h ^= h >> np.uint64(33)
-        h *= np.uint64(0xFF51AFD7ED558CCD)
-        h ^= h >> np.uint64(29)
-    return (h & np.uint64(BUCKETS - 1)).astype(np.int64)
+        return _mixed(a.astype(np.uint64) * _M1 ^ b.astype(np.uint64) * _M2 ^ c.astype(np.uint64) * _M3)
 
 
-def _word_buckets(word: str) -> tuple[int, int]:
-    """Two independent places of a word; its count is the smaller of theirs, so chance hits need both."""
-    h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big")
-    return h & (BUCKETS - 1), h >> 32 & (BUCKETS - 1)
+def _hash(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word)
+
+
+def _pair(first: int, second: int) -> int:
+    """The hash of a pair of words from those of the words."""
+    h = (first * _I1 ^ second * _I2) & _FULL
+    h ^= h >> 33
+    h = h * 0xFF51AFD7ED558CCD & _FULL
+    return h ^ h >> 29
 
 
 def _flat(text: str) -> str:
@@ -272,55 +310,87 @@ def _flat(text: str) -> str:
     return re.sub(r"\s*\n\s*", lambda m: "\0" if m.group().count("\n") > 1 else " ", text)
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    grams = np.zeros(BUCKETS, np.int64)
-    words: dict[str, int] = {}
+def _count(batches: Iterator[pd.DataFrame], places: int) -> Iterator[pd.DataFrame]:
+    """(kind, place, n): counts of a partition in hashed tables; words and pairs have two places each."""
+    tables = [np.zeros(places, np.int32) for _ in range(3)]
+    mask, words = np.uint64(places - 1), 0
     wanted = np.zeros(0x110000, bool)
     wanted[_MODEL_CHARS] = True
     wanted[48] = True
+
+    def add(kind: int, hashes: np.ndarray, both: bool = True) -> None:
+        for h in (hashes, hashes >> np.uint64(32)) if both else (hashes,):
+            np.add(tables[kind], np.bincount((h & mask).astype(np.int64), minlength=places), out=tables[kind], casting="unsafe")
+
     for batch in batches:
         pending, size = [], 0
         for text in [*batch["content"].tolist(), None]:
             if text:
-                flat = _flat(text)
+                flat = _flat(plain_form(text))
                 pending.append(flat)
                 size += len(flat)
-                for w in _WORD.findall(flat):
-                    words[w] = words.get(w, 0) + 1
-            if pending and (text is None or size > ROOM):
-                codes = _codes("\0".join(pending))
+            if pending and (text is None or size > 4 * ROOM):
+                joined = "\0".join(pending)
+                codes = _codes(joined)
                 if len(codes) > 2:
                     keep = wanted[codes[:-2]] | wanted[codes[1:-1]] | wanted[codes[2:]]
-                    grams += np.bincount(_trigram(codes[:-2][keep], codes[1:-1][keep], codes[2:][keep]), minlength=BUCKETS)
+                    add(_TRIGRAM, _trigram(codes[:-2][keep], codes[1:-1][keep], codes[2:][keep]), False)
+                found = _WORD.findall(joined)
+                seen = {w: _hash(w) for w in set(found)}
+                own = np.fromiter((seen[w] for w in found), np.uint64, len(found))
+                words += len(own)
+                add(_WORDS, own)
+                with np.errstate(over="ignore"):
+                    add(_PAIR, _mixed(own[:-1] * _M1 ^ own[1:] * _M2))
                 pending, size = [], 0
-    at = np.flatnonzero(grams)
-    yield pd.DataFrame({"kind": np.zeros(len(at), np.int8), "bucket": at, "n": grams[at]})
-    total = np.zeros(BUCKETS, np.int64)
-    for w, n in words.items():
-        for bucket in {*_word_buckets(w)}:
-            total[bucket] += n
-    at = np.flatnonzero(total)
-    yield pd.DataFrame({"kind": np.ones(len(at), np.int8), "bucket": at, "n": total[at]})
-
-
-def language_model(plain: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed counts of trigrams and of words in the column ``content``; two arrays of BUCKETS numbers."""
-    rows = plain.select("content").mapInPandas(_count, "kind tinyint, bucket int, n bigint").groupBy("kind", "bucket").agg(F.least(F.sum("n"), F.lit(65535)).cast("int").alias("n")).toPandas()
-    out = (np.zeros(BUCKETS, np.uint16), np.zeros(BUCKETS, np.uint16))
-    for kind, array in enumerate(out):
-        part = rows[rows["kind"] == kind]
-        array[part["bucket"].to_numpy(np.int64)] = part["n"].to_numpy(np.uint16)
-    return out
+    for kind, table in enumerate(tables):
+        at = np.flatnonzero(table)
+        yield pd.DataFrame({"kind": np.full(len(at), kind, np.int8), "place": at, "n": table[at]})
+    yield pd.DataFrame({"kind": np.full(1, 3, np.int8), "place": [0], "n": [words]})
+
+
+def language_model(plain: DataFrame) -> Model:
+    """The model of the column ``content``.
+
+    Tasks send the counts of their partition, the sums are packed in blocks by tasks, and the driver receives at most
+    three tables of ``MOST`` bytes.
+    """
+    chars = plain.agg(F.sum(F.length("content"))).first()[0] or 0
+    places = FEWEST
+    while places < min(MOST, chars / CHARS_EACH):
+        places *= 2
+    sums = plain.select("content").mapInPandas(lambda batches: _count(batches, places), "kind tinyint, place int, n bigint").groupBy("kind", "place").agg(F.sum("n").alias("n"))
+    step = F.least(F.round(F.log(2 * F.col("n") + 1) * STEP), F.lit(255)).cast("int")
+    total = F.when(F.col("kind") == 3, F.col("n"))
+    blocks = sums.groupBy("kind", F.floor(F.col("place") / BLOCK).alias("block")).agg(F.collect_list(F.struct((F.col("place") % BLOCK).alias("place"), step.alias("step"))).alias("steps"), F.max(total).alias("total"))
+
+    @F.pandas_udf("binary")
+    def packed(all_steps: pd.Series) -> pd.Series:
+        def one(steps) -> bytes:
+            table = np.zeros(BLOCK, np.uint8)
+            table[[s["place"] for s in steps]] = [s["step"] for s in steps]
+            return table.tobytes()
+
+        return all_steps.map(one)
+
+    tables, words = tuple(np.zeros(places, np.uint8) for _ in range(3)), 0
+    for row in blocks.select("kind", "block", "total", packed("steps").alias("steps")).collect():
+        if row["kind"] == 3:
+            words = row["total"]
+        else:
+            tables[row["kind"]][row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.frombuffer(row["steps"], np.uint8)
+    return Model(tables, float(words))
 
 
 # ---------------------------------------------------------------- decoding
 
 _SOURCES = np.zeros(0x110000, bool)
 _SOURCES[[ord(ch) for ch in _SWAPS]] = True
-
-
+_HANGUL = re.compile("[가-힣]")
 _CONSONANTS = re.compile("[bcdfghjklmnpqrstvwxz]+")
-_HIRAGANA = re.compile("[ぁ-ゖー]{40,}")
+_HANGUL_RULES = [(s, t) for s, ts in _SWAPS.items() for t in ts if "가" <= s <= "힣"]
+#: Log of the count of what never occurs, as a half.
+_NEVER = float(-np.log(2))
 
 
 def _cluster(word: str) -> int:
@@ -329,15 +399,29 @@ def _cluster(word: str) -> int:
 
 
 class Decoder:
-    """Readings of scanned lines under the model."""
+    """Readings of scanned lines under the model; ``rates`` are log-probabilities of confusions, read>meant."""
 
-    def __init__(self, grams: np.ndarray, words: np.ndarray):
-        self.grams, self.words, self.seen, self.three = grams, words, {}, {}
-        self.log = np.log(np.arange(65536) + 0.5)
+    def __init__(self, model: Model, rates: dict[str, float] | None = None):
+        self.grams, self.words, self.pairs = model.tables
+        self.mask, self.rates = len(self.grams) - 1, rates or {}
+        self.all = float(np.log(model.total + 1.0))
+        self.log = np.arange(256) / STEP + _NEVER
+        self.seen: dict[str, list] = {}
+        self.three: dict[str, float] = {}
 
-    def known(self, word: str) -> int:
-        first, second = _word_buckets(word)
-        return min(int(self.words[first]), int(self.words[second]))
+    def _rate(self, read: str, meant: str) -> float:
+        return self.rates.get(f"{read}>{meant}", CHANNEL)
+
+    def _counted(self, table: np.ndarray, h: int) -> float:
+        return float(self.log[min(table[h & self.mask], table[h >> 32 & self.mask])])
+
+    def count(self, word: str) -> float:
+        """Log of how often the corpus has a word."""
+        return self._counted(self.words, _hash(word))
+
+    def usual(self, word: str) -> float:
+        """The same, whatever case the word stands in at the head of a sentence or in a title."""
+        return max(self.count(w) for w in {word, word.lower(), word.capitalize(), word.title()}) if word[:1].isupper() else self.count(word)
 
     def _gram(self, three: str) -> float:
         """Log of the count of one trigram."""
@@ -350,7 +434,7 @@ class Decoder:
             h ^= h >> 33
             h = h * 0xFF51AFD7ED558CCD & _FULL
             h ^= h >> 29
-            score = self.three[three] = float(self.log[self.grams[h & (BUCKETS - 1)]])
+            score = self.three[three] = float(self.log[self.grams[h & self.mask]])
         return score
 
     def _score(self, text: str) -> float:
@@ -359,19 +443,16 @@ class Decoder:
     def _rare(self, text: str) -> int:
         return sum(self._gram(text[i : i + 3]) < 0 for i in range(len(text) - 2))
 
-    def word(self, word: str) -> str | None:
-        """The word that was meant, or None if this one stands."""
-        if word not in self.seen:
-            if len(self.seen) > 200_000:
-                self.seen.clear()
-            self.seen[word] = self._word(word)
-        return self.seen[word]
-
-    def _readings(self, word: str) -> dict[str, int]:
-        """Other readings and how many confusions each takes: two only if none with one is a word."""
-        rules = _RULES if not re.search("[가-힣]", word) else [(s, t) for s, ts in _SWAPS.items() for t in ts if "가" <= s <= "힣"]
-        found, layer = {word: 0}, [word]
-        for depth in range(1, 3):
+    # -- words
+
+    def readings(self, word: str) -> dict[str, float]:
+        """Other readings and the log-probability of their confusions.
+
+        One confusion more is tried only if no reading with fewer is a word, up to one for each four characters and one besides.
+        """
+        rules = _HANGUL_RULES if _HANGUL.search(word) else _RULES
+        found, layer = {word: 0.0}, [word]
+        for _ in range(1 + max(1, len(word) // 4)):
             fresh = []
             for w in layer:
                 for read, meant in rules:
@@ -379,39 +460,42 @@ class Decoder:
                     while at >= 0:
                         made = w[:at] + meant + w[at + len(read) :]
                         if made not in found:
-                            found[made] = depth
+                            found[made] = found[w] + self._rate(read, meant)
                             fresh.append(made)
                         at = w.find(read, at + 1)
             layer = fresh
-            if depth == 1 and any(self.known(w) >= KNOWN or w[0].isupper() and self.known(w.lower()) >= KNOWN for w in layer):
+            if any(self.usual(w) > 0 for w in layer):
                 break
         del found[word]
         return found
 
-    def _word(self, word: str) -> str | None:
-        if len(word) < 2 or not _LETTERED.search(word) or self.known(word) >= 2:
-            return None
-        for base in ({word.lower(), word.capitalize(), word.title()} - {word}):
-            if self.known(base) >= KNOWN:
-                return None
-        best, top = None, 0.0
-        for made, depth in self._readings(word).items():
-            n = self.known(made)
-            if n < KNOWN and made[0].isupper():
-                n = max(n, self.known(made.lower()), self.known(made.capitalize()) if made.isupper() else 0)
-            if n >= KNOWN and (gain := np.log(n + 0.5) - np.log(0.5) + depth * CHANNEL / 3) > top:
-                best, top = made, gain
-        if best:
-            return best
-        if re.search("[가-힣]", word) and len(word) > 2:
-            for cut in range(len(word) - 1, 1, -1):  # a word with another ending
-                if self.known(word[:cut]) >= KNOWN:
-                    return None
-        return self._name(word)
+    def candidates(self, word: str) -> list[tuple[str, float, float]]:
+        """(reading, log-probability of its confusions, log count) of a word, itself first; others only if they may win."""
+        known = self.seen.get(word)
+        if known is None:
+            if len(self.seen) > 200_000:
+                self.seen.clear()
+            known = self.seen[word] = self._candidates(word)
+        return known
+
+    def _candidates(self, word: str) -> list[tuple[str, float, float]]:
+        own = self.usual(word)
+        if own < 0:
+            own -= NOVELTY * max(0, len(word) - 2)
+        out = [(word, 0.0, own)]
+        if len(word) < 2 or not _LETTERED.search(word) or own - CONTEXT > self.all + CHANNEL:
+            return out
+        for made, cost in self.readings(word).items():
+            n = self.usual(made)
+            if n > 0 and n + cost + CONTEXT > own + CHANGE:
+                out.append((made, cost, n))
+        if own < 0 and len(out) == 1 and not _HANGUL.search(word) and (name := self._name(word)):
+            out.append((name, 0.0, self.all))
+        return out
 
     def _name(self, word: str) -> str | None:
         """An invented name: by its trigrams, and only where consonants pile up or a digit stands inside."""
-        if re.search("[가-힣]", word) or len(word) < 4:
+        if len(word) < 4:
             return None
         own = self._score(f" {word} ")
         rare = self._rare(f" {word} ")
@@ -431,6 +515,64 @@ class Decoder:
                 at = word.find(read, at + 1)
         return best
 
+    def _follows(self, before: str | None, before_count: float, word: str, count: float) -> float:
+        """Log-probability of a word, up to a constant, after the word before it."""
+        if before is None or before_count < 0:
+            return count
+        both = self._counted(self.pairs, _pair(_hash(before), _hash(word)))
+        if both < 0:
+            return count + np.log(1 - PAIRED)
+        return float(np.logaddexp(count + np.log(1 - PAIRED), min(both - before_count, 0.0) + self.all + np.log(PAIRED)))
+
+    def line(self, words: list[str]) -> dict[int, str]:
+        """Places of a line of words where another word was meant: the best path through the candidates of all words.
+
+        A state is a candidate with the best path that ends in it.  Between words with one candidate there is
+        one path, so only the stretches around others take time.
+        """
+        lattice = [self.candidates(w) for w in words]
+        if all(len(c) == 1 for c in lattice):
+            return {}
+        changes: dict[int, str] = {}
+        at = 0
+        while at < len(words):
+            if len(lattice[at]) == 1:
+                at += 1
+                continue
+            stop = at
+            while stop < len(words) and len(lattice[stop]) > 1:
+                stop += 1
+            first = lattice[at - 1][0] if at else (None, 0.0, _NEVER)
+            states = [(0.0, first[0], first[2], ())]
+            for place in [*range(at, stop), *([stop] if stop < len(words) else [])]:
+                nxt = []
+                for text, cost, count in lattice[place]:
+                    score, _, _, path = max(((s[0] + self._follows(s[1], s[2], text, count), 0, 0, s[3]) for s in states), key=lambda s: s[0])
+                    nxt.append((score + cost, text, count, path if text == words[place] else (*path, (place, text))))
+                states = nxt
+            best = max(states, key=lambda s: (s[0] - (CHANGE if s[3] else 0.0)))
+            changes.update(best[3])
+            at = stop
+        return changes
+
+    # -- characters
+
+    def _single(self, codes: np.ndarray) -> Iterator[tuple[str, str, np.ndarray, np.ndarray, np.ndarray]]:
+        """(read, meant, places, gains, rarest log count as read) for each reading of a character alone; two characters at either end are skipped."""
+        n = len(codes)
+        places = np.flatnonzero(_SOURCES[codes[2 : n - 2]]) + 2 if n > 4 else np.empty(0, int)
+        if not len(places):
+            return
+        a, b, c, d, e = (codes[places + k] for k in (-2, -1, 0, 1, 2))
+        log = lambda *t: self.log[self.grams[(_trigram(*t) & np.uint64(self.mask)).astype(np.int64)]]
+        read = np.stack([log(a, b, c), log(b, c, d), log(c, d, e)])
+        for ch in np.unique(c).tolist():
+            own = np.flatnonzero(c == ch)
+            for meant in _SWAPS[chr(ch)]:
+                m = np.full(len(own), ord(meant), np.uint32)
+                gain = log(a[own], b[own], m) + log(b[own], m, d[own]) + log(m, d[own], e[own]) - read[:, own].sum(axis=0)
+                yield chr(ch), meant, places[own], gain, read[:, own].min(axis=0)
+
     def characters(self, flow: str) -> dict[int, str]:
         """Places in a flow of text where another character was meant.
 
@@ -438,21 +580,12 @@ class Decoder:
         closer than three characters share trigrams, so runs of them are decoded jointly by Viterbi.
         """
         codes = _codes(flow)
-        n = len(codes)
-        if n < 5:
-            return {}
-        places = np.flatnonzero(_SOURCES[codes[2 : n - 2]]) + 2
-        if not len(places):
-            return {}
-        a, b, c, d, e = (codes[places + k] for k in (-2, -1, 0, 1, 2))
-        here = [self.grams[_trigram(*t)] for t in ((a, b, c), (b, c, d), (c, d, e))]
-        doubtful = np.minimum(np.minimum(here[0], here[1]), here[2]) < 3
-        places = places[doubtful].tolist()
-        for m in _HIRAGANA.finditer(flow):  # no words, so no likelihoods
-            places = [p for p in places if not m.start() <= p < m.end()]
+        doubtful: set[int] = set()
+        for read, meant, places, gain, rarest in self._single(codes):
+            doubtful.update(places[(gain + self._rate(read, meant) + INSIDE * (read in _LIKE_KATAKANA) > CHANGE) | (rarest < 1.0) & (gain > CHANNEL)].tolist())
         changes: dict[int, str] = {}
         run: list[int] = []
-        for place in [*places, n + 10]:
+        for place in [*sorted(doubtful), len(codes) + 10]:
             if run and place - run[-1] > 2:
                 changes.update(self._viterbi(flow, run))
                 run = []
@@ -472,14 +605,82 @@ class Decoder:
                 for ch in options.get(at, own):
                     gain, taken = score + self._gram(last + ch), made
                     if ch != own:
-                        gain += CHANNEL + (INSIDE if _KATAKANA(ch) and own in _LIKE_KATAKANA and _KATAKANA(flow[at - 1]) and _KATAKANA(flow[at + 1]) else 0)
+                        gain += self._rate(own, ch) + (INSIDE if _KATAKANA(ch) and own in _LIKE_KATAKANA and _KATAKANA(flow[at - 1]) and _KATAKANA(flow[at + 1]) else 0)
                         taken = (*made, (at, ch))
                     state = last[1] + ch
                     if state not in nxt or nxt[state][0] < gain:
                         nxt[state] = (gain, taken)
             states = nxt
         best, made = max(states.values())
-        return dict(made) if made and best - plain > CHANGE else {}
+        return {at: ch for at, ch in made if self._informed(flow, at)} if made and best - plain > CHANGE else {}
+
+    def _informed(self, flow: str, at: int) -> bool:
+        """Whether the corpus knows a quarter of the trigrams near a place: where it knows hardly any, as in rows of random syllables, its likelihoods say nothing."""
+        near = [flow[i : i + 3] for i in range(max(0, at - 10), min(len(flow) - 2, at + 9)) if not i <= at <= i + 2]
+        near = [three for three in near if not _COUNTED.isdisjoint(three)]
+        return 4 * sum(self._gram(three) > 0 for three in near) >= len(near)
+
+
+# ---------------------------------------------------------------- channel
+
+_RATE = "rule string, happened double, possible double"
+
+
+def _word_rates(batches: Iterator[pd.DataFrame], shared) -> Iterator[pd.DataFrame]:
+    """Evidence from distinct words with their numbers: which are far rarer than a word one confusion away."""
+    decoder = Decoder(shared.value)
+    happened: dict[str, float] = {}
+    possible: dict[str, float] = {}
+    for batch in batches:
+        for word, n in zip(batch["word"], batch["n"].tolist()):
+            rules = _HANGUL_RULES if _HANGUL.search(word) else _RULES
+            for read, meant in rules:
+                if meant in word:
+                    possible[f"{read}>{meant}"] = possible.get(f"{read}>{meant}", 0.0) + n
+            own, best = decoder.usual(word), None
+            if own + CERTAIN > decoder.all:
+                continue
+            for read, meant in rules:
+                at = word.find(read)
+                while at >= 0:
+                    gain = decoder.usual(word[:at] + meant + word[at + len(read) :]) - own
+                    if gain > CERTAIN and (best is None or gain > best[0]):
+                        best = gain, f"{read}>{meant}"
+                    at = word.find(read, at + 1)
+            if best:
+                happened[best[1]] = happened.get(best[1], 0.0) + n
+    rules = sorted({*happened, *possible})
+    yield pd.DataFrame({"rule": rules, "happened": [happened.get(r, 0.0) for r in rules], "possible": [possible.get(r, 0.0) for r in rules]})
+
+
+def _character_rates(batches: Iterator[pd.DataFrame], shared) -> Iterator[pd.DataFrame]:
+    """Evidence from the characters of scripts without blanks: which are far rarer in their place than another."""
+    decoder = Decoder(shared.value)
+    happened: dict[str, float] = {}
+    meant_at: dict[str, float] = {}
+    for batch in batches:
+        codes = _codes("\0\0".join(["", *batch["content"], ""]))
+        own, numbers = np.unique(codes, return_counts=True)
+        for code, n in zip(own.tolist(), numbers.tolist()):
+            meant_at[chr(code)] = meant_at.get(chr(code), 0.0) + n
+        for read, meant, _, gain, _ in decoder._single(codes):
+            happened[f"{read}>{meant}"] = happened.get(f"{read}>{meant}", 0.0) + int((gain > 2 * CERTAIN).sum())
+    rules = [f"{read}>{meant}" for read, all_meant in _SWAPS.items() for meant in all_meant if not _HANGUL.match(read)]
+    yield pd.DataFrame({"rule": rules, "happened": [happened.get(r, 0.0) for r in rules], "possible": [meant_at.get(r[2], 0.0) for r in rules]})
+
+
+def channel(scanned: DataFrame, shared) -> dict[str, float]:
+    """The log-probability of each confusion, estimated from all scanned texts; few and sure cases leave it near ``CHANNEL``.
+
+    Words are counted by Spark, so each different one is looked at once.
+    """
+    texts = scanned.select("content")
+    words = texts.select(F.explode(F.regexp_extract_all("content", F.lit(_WORD.pattern), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    by_words = words.mapInPandas(lambda batches: _word_rates(batches, shared), _RATE)
+    by_characters = texts.mapInPandas(lambda batches: _character_rates(batches, shared), _RATE)
+    sums = by_words.unionByName(by_characters).groupBy("rule").agg(F.sum("happened").alias("happened"), F.sum("possible").alias("possible")).collect()
+    start = float(np.exp(CHANNEL))
+    return {r["rule"]: min(-0.5, float(np.log((r["happened"] + PRIOR * start) / (r["happened"] + r["possible"] + PRIOR)))) for r in sums}
 
 
 def _flow(lines: list[str], skip: set[int], vocabulary) -> tuple[str, list[int], set[int]]:
@@ -524,13 +725,15 @@ def _compound(line: str, after: str) -> str:
 
 
 def _changes(decoder: Decoder, flow: str) -> list[tuple[int, int, str]]:
-    """(start, end, meant) of all places in a flow that are read otherwise."""
-    out = [(at, at + 1, ch) for at, ch in decoder.characters(f"  {flow}  ").items()]
-    out = [(a - 2, b - 2, ch) for a, b, ch in out]
-    for m in _WORD.finditer(flow):
-        meant = decoder.word(m.group())
-        if meant:
-            out.append((m.start(), m.end(), meant))
+    """(start, end, meant) of all places in a flow that are read otherwise; the words of a line end where a sentence or paragraph does."""
+    out = [(at - 2, at - 1, ch) for at, ch in decoder.characters(f"  {flow}  ").items()]
+    line: list[re.Match] = []
+    for m in [*_WORD.finditer(flow), None]:
+        if line and (m is None or _BROKEN_OFF.search(flow, line[-1].end(), m.start())):
+            out += [(line[i].start(), line[i].end(), meant) for i, meant in decoder.line([w.group() for w in line]).items()]
+            line = []
+        if m is not None:
+            line.append(m)
     return out
 
 
@@ -538,8 +741,7 @@ def examine(content: str, header: set[int], numbered: set[int], decoder: Decoder
     """The traces (line from 1, kind) of one text, and the text repaired."""
     lines = content.split("\n")
     skip = header | numbered
-    compound = lambda w: decoder.known(w) >= KNOWN or decoder.known(w.lower()) >= KNOWN
-    flow, owner, hyphens = _flow(lines, {i - 1 for i in skip}, compound)
+    flow, owner, hyphens = _flow(lines, {i - 1 for i in skip}, lambda w: max(decoder.count(w), decoder.count(w.lower())) > 0)
     traces = {(i + 1, "hyphen") for i in hyphens} | {(i, "header") for i in header} | {(i, "pagenum") for i in numbered}
     meant = []
     for start, end, text in sorted(_changes(decoder, flow)):
@@ -571,15 +773,17 @@ def _differing(word: str, meant: str, start: int) -> list[int]:
     return [start + head, start + min(last, len(word) - 1)]
 
 
-def _examined(scanned: DataFrame, model: tuple[np.ndarray, np.ndarray], repair: bool) -> DataFrame:
+def _examined(scanned: DataFrame, model: Model, repair: bool) -> DataFrame:
+    scanned = scanned.where(F.col("content").isNotNull())
     shared = scanned.sparkSession.sparkContext.broadcast(model)
+    rates = channel(scanned, shared)
     marks = furniture(scanned).groupBy("tbl", "rec_key").agg(
         F.collect_list(F.when(F.col("header"), F.col("line_no"))).alias("headers"), F.collect_list(F.when(F.col("pagenum"), F.col("line_no"))).alias("numbers")
     )
-    rows = scanned.where(F.col("content").isNotNull()).select("tbl", "rec_key", "content").join(marks, ["tbl", "rec_key"], "left")
+    rows = scanned.select("tbl", "rec_key", "content").dropDuplicates(["tbl", "rec_key"]).join(marks, ["tbl", "rec_key"], "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        decoder = Decoder(*shared.value)
+        decoder = Decoder(shared.value, rates)
         for batch in batches:
             out = []
             for tbl, key, content, headers, numbers in zip(batch["tbl"], batch["rec_key"], batch["content"], batch["headers"], batch["numbers"]):
@@ -590,11 +794,11 @@ def _examined(scanned: DataFrame, model: tuple[np.ndarray, np.ndarray], repair:
     return rows.mapInPandas(run, "tbl string, rec_key string, " + ("content string" if repair else "line_no int, kind string"))
 
 
-def traces(scanned: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def traces(scanned: DataFrame, model: Model) -> DataFrame:
     """(tbl, rec_key, line_no, kind) of each line with a trace of the page or of recognition."""
     return _examined(scanned, model, False)
 
 
-def repaired(scanned: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def repaired(scanned: DataFrame, model: Model) -> DataFrame:
     """(tbl, rec_key, content) with each text as continuous paragraphs, one blank line between them."""
     return _examined(scanned, model, True)

@@ -162,11 +162,42 @@ def test_page_number_values(text, value):
 
 
 def test_clean_text_stays(spark, model):
-    decoder = scans.Decoder(*model)
+    decoder = scans.Decoder(model)
     assert scans.examine(MODEL_TEXT, set(), set(), decoder)[0] == []
     assert scans._changes(decoder, "") == []
 
 
+def test_pairs_of_words_decide_on_the_path(spark):
+    text = "the cat sat there. " * 30 + "they eat fish. " * 30 + "we eat rice. " * 10 + "a cat ran. " * 10
+    decoder = scans.Decoder(scans.language_model(spark.createDataFrame([(text,)], "content string")))
+    assert decoder.line("they cat fish".split()) == {1: "eat"}
+    assert decoder.line("the cat sat".split()) == {} and decoder.line("a cat ran".split()) == {}
+    assert decoder.line("they cat rice we cat fish".split()) == {1: "eat", 4: "eat"}
+
+
+def test_a_misreading_that_occurs_in_the_corpus_too_is_found_at_any_size(spark):
+    for times in (200, 20_000):
+        text = "the recording was short. " * times + "the rec0rding was short. " * (times // 200)
+        decoder = scans.Decoder(scans.language_model(spark.createDataFrame([(text,)], "content string")))
+        assert decoder.line("the rec0rding was short".split()) == {1: "recording"}
+
+
+def test_confusions_are_estimated_from_the_scanned_texts(spark, model):
+    often = scanned(spark, [("t", str(i), "f", "pdf", None, None, "The rec0rding was played bef0re the class.") for i in range(300)])
+    never = scanned(spark, [("t", str(i), "f", "pdf", None, None, "The recording was played before the class.") for i in range(300)])
+    shared = spark.sparkContext.broadcast(model._replace(tables=tuple(np.where(t > 0, np.minimum(t.astype(int) + 40, 255), 0).astype(np.uint8) for t in model.tables)))
+    high, low = (scans.channel(df, shared)["0>o"] for df in (often, never))
+    assert high > scans.CHANNEL > low and scans.channel(often.limit(0), shared).get("0>o", scans.CHANNEL) == pytest.approx(scans.CHANNEL, abs=0.1)
+
+
+def test_long_running_titles_and_wide_pages_are_found(spark, model):
+    title = "The Very Long and Winding Running Title of a Book about Recordings and Their Classes in Schools"
+    body = "\n".join("The recording was played before the class and it went on for a good while longer than we had thought it would be that day." for _ in range(6))
+    pages = [f"{title}\n{body}\n- {n} -" for n in (3, 4, 5)]
+    df = scanned(spark, [("t", str(n), "f", "pdf", None, None, text) for n, text in enumerate(pages)])
+    assert {(r.rec_key, r.line_no, r.kind) for r in scans.traces(df, model).where("kind in ('header', 'pagenum')").collect()} == {(str(n), i, k) for n in range(3) for i, k in ((1, "header"), (8, "pagenum"))}
+
+
 # ---------------------------------------------------------------- 4
 
 @pytest.mark.parametrize("text, units", [
