@@ -78,6 +78,7 @@ _NUMBER = r"(?P<n>[0-9０-９OolI|SB]{1,4}|[〇一二三四五六七八九十百
 # How a page number may be written; {} is the number.
 _FORMS = ["- {} -", "– {} –", "— {} —", "·{}·", "〔{}〕", "（{}）", "({})", "[{}]", "{}", "p. {}", "P. {}", "pp. {}", "Page {}", "page {}", "S. {}", "Seite {}", "第{}頁", "第{}页", "第{}ページ", "{}ページ", "{}頁", "{}쪽", "<{}>", "《{}》", "〈{}〉", "【{}】", "• {} •", "~ {} ~", "No. {}"]
 _FORM = [(form, re.compile(re.escape(form).replace(r"\{\}", "\x00").replace(r"\ ", r"\s*").replace("\x00", r"\s*" + _NUMBER + r"\s*"))) for form in _FORMS]
+_ANY_FORM = re.compile("|".join(pattern.pattern.replace("?P<n>", "?:") for _, pattern in _FORM))
 _OF = re.compile(_NUMBER + r"\s*[/／]\s*(?P<m>[0-9０-９OolI|SB]{1,5})")
 #: Forms that also number questions, points and notes in running text; alone they are no evidence.
 _WEAK = {"（{}）", "({})", "No. {}", "[{}]"}
@@ -117,7 +118,7 @@ def page_number(text: str) -> tuple[str, int] | None:
     if m:
         n, of = _value(m.group("n")), _value(m.group("m"))
         return (f"{{}}/{of}", n) if n is not None and of and n <= of else None
-    for form, pattern in _FORM:
+    for form, pattern in _FORM if _ANY_FORM.fullmatch(text) else ():
         m = pattern.fullmatch(text)
         if m:
             n = _value(m.group("n"))
@@ -572,24 +573,24 @@ class Decoder:
                 gain = log(a[own], b[own], m) + log(b[own], m, d[own]) + log(m, d[own], e[own]) - read[:, own].sum(axis=0)
                 yield chr(ch), meant, places[own], gain, read[:, own].min(axis=0)
 
-    def characters(self, flow: str) -> dict[int, str]:
-        """Places in a flow of text where another character was meant.
+    def characters(self, flows: list[str]) -> list[list[tuple[int, str]]]:
+        """The places of each flow of text where another character was meant.
 
-        First all places at once: the three trigrams around each, as read and as meant.  Places
+        First all places of all flows at once: the three trigrams around each, as read and as meant.  Places
         closer than three characters share trigrams, so runs of them are decoded jointly by Viterbi.
         """
-        codes = _codes(flow)
-        doubtful: set[int] = set()
-        for read, meant, places, gain, rarest in self._single(codes):
-            doubtful.update(places[(gain + self._rate(read, meant) + INSIDE * (read in _LIKE_KATAKANA) > CHANGE) | (rarest < 1.0) & (gain > CHANNEL)].tolist())
-        changes: dict[int, str] = {}
-        run: list[int] = []
-        for place in [*sorted(doubtful), len(codes) + 10]:
-            if run and place - run[-1] > 2:
-                changes.update(self._viterbi(flow, run))
-                run = []
-            run.append(place)
-        return changes
+        joined = "  " + "    ".join(flows) + "  "
+        starts = np.cumsum([2, *(len(flow) + 4 for flow in flows)])
+        doubtful = [np.empty(0, np.int64)]
+        for read, meant, places, gain, rarest in self._single(_codes(joined)):
+            doubtful.append(places[(gain + self._rate(read, meant) + INSIDE * (read in _LIKE_KATAKANA) > CHANGE) | (rarest < 1.0) & (gain > CHANNEL)])
+        places = np.unique(np.concatenate(doubtful))
+        out: list[list[tuple[int, str]]] = [[] for _ in flows]
+        for run in np.split(places, np.flatnonzero(np.diff(places) > 2) + 1) if len(places) else ():
+            for at, ch in self._viterbi(joined, run.tolist()).items():
+                flow = int(np.searchsorted(starts, at, "right")) - 1
+                out[flow].append((at - int(starts[flow]), ch))
+        return out
 
     def _viterbi(self, flow: str, run: list[int]) -> dict[int, str]:
         """The best joint reading of neighbouring places; states are the last two characters."""
@@ -717,9 +718,9 @@ def _compound(line: str, after: str) -> str:
     return (re.sub(r"[-‐‑‒–—¬­⁃~]\s*$", "-", head.group()) if head else "") + (tail.group() if tail else "")
 
 
-def _changes(decoder: Decoder, flow: str) -> list[tuple[int, int, str]]:
-    """(start, end, meant) of all places in a flow that are read otherwise; the words of a line end where a sentence or paragraph does."""
-    out = [(at - 2, at - 1, ch) for at, ch in decoder.characters(f"  {flow}  ").items()]
+def _words(decoder: Decoder, flow: str) -> list[tuple[int, int, str]]:
+    """(start, end, meant) of all words in a flow that are read otherwise; a line of words ends where a sentence or paragraph does."""
+    out: list[tuple[int, int, str]] = []
     line: list[re.Match] = []
     for m in [*_WORD.finditer(flow), None]:
         if line and (m is None or _BROKEN_OFF.search(flow, line[-1].end(), m.start())):
@@ -730,29 +731,45 @@ def _changes(decoder: Decoder, flow: str) -> list[tuple[int, int, str]]:
     return out
 
 
+class Page:
+    """One text: its flow without the furniture, and the lines of the furniture, which are read for themselves."""
+
+    def __init__(self, content: str, header: set[int], numbered: set[int], decoder: Decoder):
+        self.lines, self.header, self.numbered = content.split("\n"), header, numbered
+        self.skip = sorted(header | numbered)
+        known = lambda w: max(decoder.count(w), decoder.count(w.lower())) > 0
+        self.flow, self.owner, self.hyphens = _flow(self.lines, {i - 1 for i in self.skip}, known)
+        self.flows = [self.flow, *(self.lines[i - 1].strip(" \t\x0c　\r") for i in self.skip)]
+
+    def read(self, changes: list[list[tuple[int, int, str]]]) -> tuple[list[tuple[int, str]], str]:
+        """The traces (line from 1, kind), and the text repaired, from the changes of each of ``flows``."""
+        traces = {(i + 1, "hyphen") for i in self.hyphens} | {(i, "header") for i in self.header} | {(i, "pagenum") for i in self.numbered}
+        parts, at = [], 0
+        for start, end, text in sorted(changes[0]):
+            traces |= {(self.owner[k] + 1, "misread") for k in _differing(self.flow[start:end], text, start)}
+            if start >= at:
+                parts += [self.flow[at:start], text]
+                at = end
+        for i, line, changed in zip(self.skip, self.flows[1:], changes[1:]):
+            if changed or i in self.numbered and _MISREAD_NUMBER.search(line):
+                traces.add((i, "misread"))
+        return sorted(traces), re.sub(r" *\n *", "\n\n", "".join([*parts, self.flow[at:]])).strip()
+
+
+_MISREAD_NUMBER = re.compile(r"\d[OolI|SB]|[OolI|SB]\d|(?:^|\s{2,})[lIO](?:$|\s{2,})")
+
+
+def examine_all(pages: list[Page], decoder: Decoder) -> Iterator[tuple[list[tuple[int, str]], str]]:
+    """The traces and the repaired text of each page; the characters of all of them are weighed at once."""
+    flows = [flow for page in pages for flow in page.flows]
+    changed = iter([_words(decoder, flow) + [(at, at + 1, ch) for at, ch in own] for flow, own in zip(flows, decoder.characters(flows))])
+    for page in pages:
+        yield page.read([next(changed) for _ in page.flows])
+
+
 def examine(content: str, header: set[int], numbered: set[int], decoder: Decoder) -> tuple[list[tuple[int, str]], str]:
     """The traces (line from 1, kind) of one text, and the text repaired."""
-    lines = content.split("\n")
-    skip = header | numbered
-    flow, owner, hyphens = _flow(lines, {i - 1 for i in skip}, lambda w: max(decoder.count(w), decoder.count(w.lower())) > 0)
-    traces = {(i + 1, "hyphen") for i in hyphens} | {(i, "header") for i in header} | {(i, "pagenum") for i in numbered}
-    meant = []
-    for start, end, text in sorted(_changes(decoder, flow)):
-        word = flow[start:end]
-        touched = {owner[k] + 1 for k in _differing(word, text, start)}
-        traces |= {(i, "misread") for i in touched}
-        meant.append((start, end, text))
-    for i in skip:
-        line = lines[i - 1].strip(" \t\x0c　\r")
-        if _changes(decoder, line) or i in numbered and re.search(r"\d[OolI|SB]|[OolI|SB]\d|(?:^|\s{2,})[lIO](?:$|\s{2,})", line):
-            traces.add((i, "misread"))
-    parts, at = [], 0
-    for start, end, text in meant:
-        if start >= at:
-            parts += [flow[at:start], text]
-            at = end
-    repaired = re.sub(r" *\n *", "\n\n", "".join([*parts, flow[at:]])).strip()
-    return sorted(traces), repaired
+    return next(examine_all([Page(content, header, numbered, decoder)], decoder))
 
 
 def _differing(word: str, meant: str, start: int) -> list[int]:
@@ -778,11 +795,20 @@ def _examined(scanned: DataFrame, model: Model, repair: bool) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         decoder = Decoder(shared.value, rates)
         for batch in batches:
-            out = []
-            for tbl, key, content, headers, numbers in zip(batch["tbl"], batch["rec_key"], batch["content"], batch["headers"], batch["numbers"]):
-                traces, text = examine(content, {*(headers if headers is not None else ())}, {*(numbers if numbers is not None else ())}, decoder)
-                out += [(tbl, key, text)] if repair else [(tbl, key, line, kind) for line, kind in traces]
-            yield pd.DataFrame(out, columns=["tbl", "rec_key", "content"] if repair else ["tbl", "rec_key", "line_no", "kind"])
+            keys, pages, size = [], [], 0
+            rows_ = zip(batch["tbl"], batch["rec_key"], batch["content"], batch["headers"], batch["numbers"])
+            for row in [*rows_, None]:
+                if row is not None:
+                    tbl, key, content, headers, numbers = row
+                    keys.append((tbl, key))
+                    pages.append(Page(content, {*(headers if headers is not None else ())}, {*(numbers if numbers is not None else ())}, decoder))
+                    size += len(content)
+                if pages and (row is None or size > ROOM):
+                    out: list[tuple] = []
+                    for (tbl, key), (traces, text) in zip(keys, examine_all(pages, decoder)):
+                        out += [(tbl, key, text)] if repair else [(tbl, key, line, kind) for line, kind in traces]
+                    yield pd.DataFrame(out, columns=["tbl", "rec_key", "content"] if repair else ["tbl", "rec_key", "line_no", "kind"])
+                    keys, pages, size = [], [], 0
 
     return rows.mapInPandas(run, "tbl string, rec_key string, " + ("content string" if repair else "line_no int, kind string"))
 

@@ -164,7 +164,7 @@ def test_page_number_values(text, value):
 def test_clean_text_stays(spark, model):
     decoder = scans.Decoder(model)
     assert scans.examine(MODEL_TEXT, set(), set(), decoder)[0] == []
-    assert scans._changes(decoder, "") == []
+    assert scans._words(decoder, "") == [] and decoder.characters(["", "a"]) == [[], []] and decoder.characters([]) == []
 
 
 def test_pairs_of_words_decide_on_the_path(spark):
