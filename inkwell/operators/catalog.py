@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from inkwell.operators.store import latest
+from inkwell.functions.text import uuid5
+from inkwell.operators.store import ConflictError, latest
 
 
 def register(catalog: DataFrame, incoming: DataFrame, force: bool = False) -> DataFrame:
@@ -59,3 +60,49 @@ def retries(tasks: DataFrame) -> DataFrame:
     """(task_id, document_id, retry): how many tasks of the document began before; a document's tasks are few."""
     order = Window.partitionBy("document_id").orderBy(F.col("started_at").asc_nulls_last(), "task_id")
     return tasks_once(tasks).select("task_id", "document_id", (F.row_number().over(order) - 1).alias("retry"))
+
+
+def started(documents: DataFrame, trigger: str | None, now: Column) -> DataFrame:
+    """New tasks (task_id, document_id, trigger_type, status, retry_count, started_at) of documents that are due, running from ``now``."""
+    name = uuid5(F.concat_ws("|", "document_id", now.cast("string")))
+    return due(documents).select(
+        name.alias("task_id"), "document_id", F.lit(trigger).cast("string").alias("trigger_type"), F.lit("running").alias("status"), F.lit(0).alias("retry_count"), now.alias("started_at")
+    )
+
+
+def finished(tasks: DataFrame, results: DataFrame, now: Column) -> DataFrame:
+    """Running tasks after their results (document_id, chunk_count, error) came in; others are left alone.
+
+    Without an error a task is a success with its chunks and sync times, else it failed, with the error and one retry more.
+    """
+    own = results.select(F.col("document_id").alias("_document"), F.col("chunk_count").alias("_chunks"), F.col("error").alias("_error"))
+    both = tasks.join(own, (F.col("document_id") == F.col("_document")) & (F.col("status") == "running"), "left")
+    done, failed = F.col("_document").isNotNull(), F.col("_error").isNotNull()
+    good = done & ~failed
+    return both.withColumns({
+        "status": F.when(good, "success").when(done, "failed").otherwise(F.col("status")), "chunk_count": F.when(good, F.col("_chunks")).otherwise(F.col("chunk_count")),
+        "finished_at": F.when(done, now).otherwise(F.col("finished_at")), "vector_sync_at": F.when(good, now).otherwise(F.col("vector_sync_at")),
+        "lexical_sync_at": F.when(good, now).otherwise(F.col("lexical_sync_at")), "error_message": F.when(done & failed, F.col("_error")).otherwise(F.col("error_message")),
+        "retry_count": F.when(done & failed, F.coalesce("retry_count", F.lit(0)) + 1).otherwise(F.col("retry_count")),
+    }).select(*tasks.columns)
+
+
+def written_back(documents: DataFrame, results: DataFrame, now: Column) -> DataFrame:
+    """Documents after their results (document_id, chunk_count, error): ingested with sync times, or failed and to be done again."""
+    own = results.select(F.col("document_id").alias("_document"), F.col("chunk_count").alias("_chunks"), F.col("error").alias("_error"))
+    both = documents.join(own, F.col("document_id") == F.col("_document"), "left")
+    done, failed = F.col("_document").isNotNull(), F.col("_error").isNotNull()
+    good = done & ~failed
+    return both.withColumns({
+        "status": F.when(good, "ingested").when(done, "failed").otherwise(F.col("status")), "needs_reingest": F.when(done, failed).otherwise(F.col("needs_reingest")),
+        "chunk_count": F.when(good, F.col("_chunks")).otherwise(F.col("chunk_count")),
+        **{name: F.when(good, now).otherwise(F.col(name)) for name in ("last_ingested_at", "vector_synced_at", "lexical_synced_at")},
+    }).select(*documents.columns)
+
+
+def lookup(documents: DataFrame, source_path: str) -> DataFrame:
+    """The row of one path: an equality that reaches the scan; an error if the path, which must be unique, is there twice."""
+    found = documents.where(F.col("source_path") == source_path)
+    if len(found.select("source_path").take(2)) > 1:
+        raise ConflictError(f"{source_path} is in the catalog twice")
+    return found

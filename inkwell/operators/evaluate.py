@@ -1,10 +1,12 @@
-"""Checks of evaluation rows, metrics by a lexical judge, and their means.
+"""Checks of evaluation rows, metrics by a judge, and their means.
 
-The judge is a column function (claim, source) -> boolean, so any other can take its place.
+A judge is a column function (claim, source) -> how far the source carries the claim, from 0 to 1.  ``overlap`` judges by
+terms; every metric takes another one, as a pandas UDF that asks a model.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 from inkwell.functions.text import strip, terms
 
 TAU = 0.5
+#: From which judgement a grade is full or half.
+FULL, HALF = 0.8, 0.4
 DIGITS = 6
 
 
@@ -23,8 +27,17 @@ def overlap(claim: Column, source: Column) -> Column:
     return F.when(F.size(own) > 0, shared / F.size(own)).otherwise(F.lit(0.0))
 
 
-def supports(claim: Column, source: Column, tau: float = TAU) -> Column:
-    return overlap(claim, source) >= tau
+Judge = Callable[[Column, Column], Column]
+
+
+def supports(claim: Column, source: Column, judge: Judge = overlap, tau: float = TAU) -> Column:
+    return judge(claim, source) >= tau
+
+
+def grade(claim: Column, source: Column, judge: Judge = overlap) -> Column:
+    """0, a half or 1: how far the source carries the claim."""
+    share = judge(claim, source)
+    return F.when(share >= FULL, 1.0).when(share >= HALF, 0.5).otherwise(0.0)
 
 
 def statements(text: Column) -> Column:
@@ -38,30 +51,67 @@ def once(rows: DataFrame) -> DataFrame:
     return rows.dropDuplicates(["row_id"])
 
 
-def context_precision(rows: DataFrame) -> DataFrame:
+def context_precision(rows: DataFrame, judge: Judge = overlap) -> DataFrame:
     """(row_id, context_precision): mean of precision@i over the contexts that support the reference."""
-    verdicts = F.transform(F.coalesce("retrieved_contexts", F.array().cast("array<string>")), lambda c: supports(F.col("reference"), c).cast("int"))
+    verdicts = F.transform(F.coalesce("retrieved_contexts", F.array().cast("array<string>")), lambda c: supports(F.col("reference"), c, judge).cast("int"))
     summed = F.transform(F.col("v"), lambda v, i: v * F.aggregate(F.slice(F.col("v"), 1, i + 1), F.lit(0), lambda a, x: a + x) / (i + 1))
     n = F.aggregate("v", F.lit(0), lambda a, x: a + x)
     score = F.when(F.size("v") == 0, F.lit(None)).when(n > 0, F.aggregate(summed, F.lit(0.0), lambda a, x: a + x) / n).otherwise(0.0)
     return rows.withColumn("v", verdicts).select("row_id", F.round(score, DIGITS).alias("context_precision"))
 
 
-def share_supported(rows: DataFrame, answer: str, sources: Column, name: str) -> DataFrame:
+def share_supported(rows: DataFrame, answer: str, sources: Column, name: str, judge: Judge = overlap) -> DataFrame:
     """(row_id, name): statements of an answer that the joined sources support; null without statements."""
     parts = statements(F.col(answer))
-    held = F.filter("p", lambda p: supports(p, F.col("s")))
+    held = F.filter("p", lambda p: supports(p, F.col("s"), judge))
     return rows.select("row_id", parts.alias("p"), F.coalesce(F.array_join(sources, "\n"), F.lit("")).alias("s")).select(
         "row_id", F.when(F.size("p") > 0, F.round(F.size(held) / F.size("p"), DIGITS)).alias(name)
     )
 
 
-def context_recall(rows: DataFrame) -> DataFrame:
-    return share_supported(rows, "reference", F.col("retrieved_contexts"), "context_recall")
+def context_recall(rows: DataFrame, judge: Judge = overlap) -> DataFrame:
+    return share_supported(rows, "reference", F.col("retrieved_contexts"), "context_recall", judge)
+
+
+def faithfulness(rows: DataFrame, judge: Judge = overlap) -> DataFrame:
+    return share_supported(rows, "response", F.col("retrieved_contexts"), "faithfulness", judge)
+
+
+def _given(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("_contexts", F.coalesce(F.array_join("retrieved_contexts", "\n"), F.lit("")))
+
+
+def context_relevance(rows: DataFrame, judge: Judge = overlap) -> DataFrame:
+    """(row_id, context_relevance): grade of the question by its contexts; null without contexts.  Needs no reference."""
+    score = F.when(F.size(F.coalesce("retrieved_contexts", F.array().cast("array<string>"))) > 0, grade(F.col("user_input"), F.col("_contexts"), judge))
+    return _given(rows).select("row_id", score.alias("context_relevance"))
+
+
+def answer_accuracy(rows: DataFrame, judge: Judge = overlap) -> DataFrame:
+    """(row_id, answer_accuracy): mean of two grades, the answer by the reference and the reference by the answer."""
+    both = (grade(F.col("response"), F.col("reference"), judge) + grade(F.col("reference"), F.col("response"), judge)) / 2
+    return rows.select("row_id", both.alias("answer_accuracy"))
+
+
+def groundedness(rows: DataFrame, judge: Judge = overlap) -> DataFrame:
+    """(row_id, groundedness): grade of the answer by the contexts; null without an answer."""
+    score = F.when(strip(F.coalesce("response", F.lit(""))) != "", grade(F.col("response"), F.col("_contexts"), judge))
+    return _given(rows).select("row_id", score.alias("groundedness"))
+
+
+#: The metrics of each evaluator, and which columns it needs (REQUIRED).
+EVALUATORS: dict[str, tuple[Callable[..., DataFrame], ...]] = {
+    "context_reference": (context_relevance, context_precision, context_recall),
+    "context": (context_relevance,),
+    "groundedness": (groundedness, faithfulness),
+}
 
 
-def faithfulness(rows: DataFrame) -> DataFrame:
-    return share_supported(rows, "response", F.col("retrieved_contexts"), "faithfulness")
+def evaluated(rows: DataFrame, evaluator: str, judge: Judge = overlap) -> DataFrame:
+    """(row_id, the evaluator's metrics); an error names the first row that lacks a needed column."""
+    require(rows, evaluator, "row_id")
+    metrics = EVALUATORS.get(evaluator, (answer_accuracy, answer_correctness))
+    return reduce(lambda left, right: left.join(right, "row_id"), (m(rows) if m is answer_correctness else m(rows, judge) for m in metrics))
 
 
 def f_beta(tp: Column, fp: Column, fn: Column, beta: float = 1.0) -> Column:

@@ -1,4 +1,4 @@
-"""Nearest neighbours: exact for a stated set of queries, and by an inverted file index."""
+"""Nearest neighbours: exact for a stated set of queries, and by an index of short codes with an exact second look."""
 
 from __future__ import annotations
 
@@ -6,21 +6,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: Query vectors that are broadcast at a time.
-QUERY_BLOCK = 1000
-#: Rows on which the index is fitted, and its lists.
+#: Bytes of query vectors that are broadcast at a time.
+QUERY_BYTES = 64 << 20
+#: Distances that a task holds at a time.
+ROOM = 4_000_000
+#: Rows on which the steps of the codes are fitted, and the steps of one value.
 FIT_ROWS = 20_000
+STEPS = 16
 DIGITS = 6
 
 
-def check_width(vectors: DataFrame, vector: str, width: int) -> DataFrame:
-    """Rows whose vector has the width; a query of another width is an error of the caller."""
-    return vectors.where(F.size(vector) == width)
+def require_width(vectors: DataFrame, vector: str, width: int, what: str = "vector") -> DataFrame:
+    """The same rows; an error names the first vector of another width.  Null vectors are no vectors and pass."""
+    wrong = vectors.where(F.col(vector).isNotNull() & (F.size(vector) != width)).select(F.size(vector).alias("n")).take(1)
+    if wrong:
+        raise ValueError(f"{what} has {wrong[0]['n']} values instead of {width}")
+    return vectors
 
 
 def _matrix(values) -> np.ndarray:
@@ -28,99 +34,188 @@ def _matrix(values) -> np.ndarray:
 
 
 def _scores(rows: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
-    """Smaller is nearer, for either metric."""
+    """Smaller is nearer, for either metric; one matrix product, so nothing is as large as queries x rows x width."""
+    dots = queries @ rows.T
     if metric == "l2":
-        return np.sqrt(np.maximum(((queries[:, None, :] - rows[None, :, :]) ** 2).sum(axis=2), 0.0))
-    size = np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(rows, axis=1)[None, :]
+        square = (queries**2).sum(1)[:, None] + (rows**2).sum(1)[None] - 2 * dots
+        return np.sqrt(np.maximum(square, 0.0))
+    size = np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(rows, axis=1)[None]
     with np.errstate(invalid="ignore", divide="ignore"):
-        return -(queries @ rows.T) / size
+        return -dots / size
+
+
+def _by_width(ids, vectors, groups) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(width, ids, matrix, groups) of the vectors of each width."""
+    widths = np.array([len(v) for v in vectors], int)
+    for width in np.unique(widths).tolist():
+        own = np.flatnonzero(widths == width)
+        yield width, ids[own], _matrix([vectors[i] for i in own]), groups[own]
+
+
+class Best:
+    """The k best of what it has seen for each of some queries; ties go to the smaller id."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.score = [np.empty(0)] * queries
+        self.ids: list[np.ndarray] = [np.empty(0, object)] * queries
+        self.last = np.full(queries, np.inf)
+
+    def add(self, score: np.ndarray, ids: np.ndarray) -> None:
+        """Only queries for which some score reaches their k-th best are looked at one by one."""
+        order = ids.astype(str) if ids.dtype == object else ids
+        with np.errstate(invalid="ignore"):
+            near = score <= self.last[:, None]
+        for q in np.flatnonzero(near.any(axis=1)).tolist():
+            hits = np.flatnonzero(near[q])
+            if len(hits) > self.k:
+                reach = np.partition(score[q, hits], self.k - 1)[self.k - 1]
+                hits = hits[score[q, hits] <= reach]
+                hits = hits[np.lexsort((order[hits], score[q, hits]))[: self.k]]
+            own, names = np.r_[self.score[q], score[q, hits]], np.r_[self.ids[q], ids[hits].astype(object)]
+            keys = names.astype(str) if ids.dtype == object else names.astype(np.int64)
+            best = np.lexsort((keys, own))[: self.k]
+            self.score[q], self.ids[q] = own[best], names[best]
+            if len(best) == self.k:
+                self.last[q] = own[best[-1]]
+
+
+def _nearest(batches: Iterator[pd.DataFrame], shared, k: int, metric: str, read=None, grouped: bool = False) -> Iterator[pd.DataFrame]:
+    """The k best rows of a whole partition for each query that was sent out."""
+    asked = {width: rest for width, *rest in shared.value}
+    best = {width: Best(len(ids), k) for width, (ids, _, _) in asked.items()}
+    for batch in batches:
+        vectors = batch["v"].tolist() if read is None else [read(v) for v in batch["v"]]
+        for width, ids, matrix, groups in _by_width(batch["id"].to_numpy(), vectors, batch["g"].to_numpy(object)):
+            if width not in asked:
+                continue
+            asked_ids, asked_matrix, asked_groups = asked[width]
+            step = max(1, ROOM // max(1, len(asked_ids)))
+            for start in range(0, len(ids), step):
+                some = slice(start, start + step)
+                score = np.round(_scores(matrix[some], asked_matrix, metric), DIGITS) + 0.0
+                if grouped:  # strangers and the query itself are no neighbours
+                    score[(asked_groups[:, None] != groups[None, some]) | (asked_ids[:, None] == ids[None, some])] = np.nan
+                best[width].add(score, ids[some])
+    for width, (ids, _, _) in asked.items():
+        for q, (score, names) in enumerate(zip(best[width].score, best[width].ids)):
+            if len(score):
+                yield pd.DataFrame({"query_id": [ids[q]] * len(score), "id": names, "score": score})
+
+
+def _sent(asked: DataFrame, query_bytes: int) -> Iterator:
+    """The queries in blocks of bounded size, by width; one block unless they are more than is broadcast at a time."""
+    n, width = asked.agg(F.count("*"), F.max(F.size("v"))).first()
+    blocks = max(1, -(-n * (width or 1) * 8 // query_bytes))
+    for number in range(blocks):
+        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number)
+        rows = part.collect()
+        ids, groups = np.empty(len(rows), object), np.empty(len(rows), object)
+        ids[:], groups[:] = [r["query_id"] for r in rows], [r["g"] for r in rows]
+        if rows or not number:
+            yield asked.sparkSession.sparkContext.broadcast(list(_by_width(ids, [r["v"] for r in rows], groups)))
 
 
-def knn(rows: DataFrame, row_id: str, queries: DataFrame, query_id: str, vector: str, k: int, metric: str = "l2", query_block: int = QUERY_BLOCK) -> DataFrame:
-    """(query_id, id, score, rank): the k nearest rows of each query; ties go to the smaller id.
+def _kind(df: DataFrame, name: str) -> str:
+    return "string" if isinstance(df.schema[name].dataType, T.StringType) else "bigint"
 
-    ``score`` is the L2 distance or the cosine, rounded.  The queries go out in blocks of fixed size, each
-    partition keeps its k best of a block, and the few survivors meet in a window.  Rows and queries without
-    an id, with a null vector, or one of another width or without length (cosine), have no neighbours.
-    """
-    spark = rows.sparkSession
-    kind = lambda df, name: "string" if isinstance(df.schema[name].dataType, T.StringType) else "bigint"
-    schema = f"query_id {kind(queries, query_id)}, id {kind(rows, row_id)}, score double"
-    asked = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("v")).where(F.col("query_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0))
-    blocks = max(1, -(-asked.count() // query_block))
-    near = None
-    for number in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number).collect()
-        if not part and near is not None:
-            continue
-        shared = spark.sparkContext.broadcast(([r["query_id"] for r in part], _matrix([r["v"] for r in part])))
 
-        def nearest(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, asked_ = shared.value
-            for batch in batches:
-                batch = batch[batch["v"].map(lambda v: v is not None and len(v) == asked_.shape[1])]
-                for start in range(0, len(batch), 500):
-                    some = batch.iloc[start : start + 500]
-                    own = some["id"].to_numpy()
-                    order = own.astype(str) if own.dtype == object else own
-                    score = np.round(_scores(_matrix(some["v"].tolist()), asked_, metric), DIGITS)
-                    for q, line in enumerate(score):
-                        best = np.lexsort((order, line))[:k]
-                        best = best[~np.isnan(line[best])]
-                        yield pd.DataFrame({"query_id": ids[q], "id": own[best], "score": line[best]})
-
-        found = rows.select(F.col(row_id).alias("id"), F.col(vector).alias("v")).where(F.col("v").isNotNull() & F.col("id").isNotNull()).mapInPandas(nearest, schema)
-        near = found if near is None else near.unionByName(found)
+def _whole(v: Column) -> Column:
+    """Whether a vector has values and none of them is null."""
+    return F.coalesce((F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull()), F.lit(False))
+
+
+def _asked(queries: DataFrame, query_id: str, vector: str, group: str | None = None) -> DataFrame:
+    own = F.lit(None).cast("string") if group is None else F.col(group)
+    return queries.where(F.col(query_id).isNotNull() & _whole(F.col(vector))).select(F.col(query_id).alias("query_id"), F.col(vector).alias("v"), own.alias("g"))
+
+
+def _ranked(near: DataFrame, k: int, metric: str) -> DataFrame:
     best = Window.partitionBy("query_id").orderBy("score", "id")
     score = F.col("score") if metric == "l2" else -F.col("score") + 0.0
     return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "id", score.alias("score"), "rank")
 
 
-def fit_lists(rows: DataFrame, vector: str, lists: int, fit_rows: int = FIT_ROWS, rounds: int = 8) -> np.ndarray:
-    """Centres of the lists, from a bounded sample chosen by hash."""
-    sample = rows.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(F.col(vector).cast("string"))).limit(fit_rows).select(vector).toPandas()
-    points = _matrix(sample[vector].tolist())
-    if not len(points):
-        return np.empty((0, 0))
-    centres = points[np.linspace(0, len(points) - 1, min(lists, len(points))).astype(int)]
-    for _ in range(rounds):
-        own = ((points[:, None, :] - centres[None]) ** 2).sum(axis=2).argmin(axis=1) if len(points) * len(centres) < 5_000_000 else _assign(points, centres)
-        centres = np.stack([points[own == i].mean(axis=0) if (own == i).any() else centres[i] for i in range(len(centres))])
-    return centres
+def knn(rows: DataFrame, row_id: str, queries: DataFrame, query_id: str, vector: str, k: int, metric: str = "l2", width: int | None = None, query_bytes: int = QUERY_BYTES, group: str | None = None) -> DataFrame:
+    """(query_id, id, score, rank): the k nearest rows of each query; ties go to the smaller id.
 
+    ``score`` is the L2 distance or the cosine, rounded.  The rows are read once while the queries fit into
+    ``query_bytes``, else once per block of them; each partition keeps its k best per query, and these few meet in
+    a window.  A query only meets rows of its own width.  With ``width`` a query of another width is an error.  With
+    ``group`` a query only meets rows with its own value there, and not the row with its own id.
+    Rows and queries without an id, or whose vector is null, empty, holds a null or (cosine) has no length, have no
+    neighbours.
+    """
+    if width is not None:
+        require_width(queries, vector, width, "a query")
+    schema = f"query_id {_kind(queries, query_id)}, id {_kind(rows, row_id)}, score double"
+    there = _asked(rows, row_id, vector, group).withColumnRenamed("query_id", "id")
+    near = None
+    for shared in _sent(_asked(queries, query_id, vector, group), query_bytes):
+        found = there.mapInPandas(lambda batches, shared=shared: _nearest(batches, shared, k, metric, grouped=group is not None), schema).where(~F.isnan("score"))
+        near = found if near is None else near.unionByName(found)
+    return _ranked(near, k, metric)
+
+
+class Codes:
+    """Each value of a vector in one of ``STEPS`` steps between a low and a high value, two to a byte."""
+
+    def __init__(self, low: float, high: float):
+        self.low, self.step = low, (high - low) / STEPS or 1.0
 
-def _assign(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return ((points**2).sum(1)[:, None] - 2 * points @ centres.T + (centres**2).sum(1)[None]).argmin(axis=1)
+    def write(self, vector) -> bytes:
+        place = np.clip((np.asarray(vector, np.float64) - self.low) // self.step, 0, STEPS - 1).astype(np.uint8)
+        pairs = np.append(place, np.uint8(0))[: len(place) + len(place) % 2].reshape(-1, 2)
+        return (pairs[:, 0] << 4 | pairs[:, 1]).tobytes()
 
+    def read(self, code: bytes, width: int) -> np.ndarray:
+        flat = np.frombuffer(code, np.uint8)
+        place = np.stack([flat >> 4, flat & 15], axis=1).reshape(-1)[:width]
+        return self.low + (place + 0.5) * self.step
 
-def index(rows: DataFrame, row_id: str, vector: str, centres: np.ndarray) -> DataFrame:
-    """(list, id, vector) of every row; the table to write, partitioned by list."""
-    shared = rows.sparkSession.sparkContext.broadcast(centres)
 
-    @F.pandas_udf("int")
-    def nearest_list(vectors: pd.Series) -> pd.Series:
-        return pd.Series(_assign(_matrix(vectors.tolist()), shared.value).astype("int32"))
+def fit_codes(rows: DataFrame, vector: str, fit_rows: int = FIT_ROWS) -> Codes:
+    """Steps between the outer hundredths of the values of about ``fit_rows`` rows, chosen by the hash of their vector."""
+    there = rows.where(_whole(F.col(vector))).select(vector)
+    share = min(1.0, fit_rows / max(1, there.count()))
+    sample = there.where(F.pmod(F.xxhash64(vector), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+    low, high = sample.select(F.explode(F.col(vector).cast("array<double>")).alias("x")).agg(F.percentile_approx("x", [0.01, 0.99])).first()[0] or (0.0, 1.0)
+    return Codes(low, high)
 
-    there = rows.where(F.size(vector) == centres.shape[1])
-    return there.select(nearest_list(vector).alias("list"), F.col(row_id).alias("id"), F.col(vector).alias("vector"))
 
+def index(rows: DataFrame, row_id: str, vector: str, codes: Codes) -> DataFrame:
+    """(id, width, code) of every row with a vector: an eighth of the bytes of floats; the table to write."""
 
-def probe(indexed: DataFrame, queries: DataFrame, query_id: str, vector: str, centres: np.ndarray, k: int, probes: int) -> DataFrame:
-    """(query_id, id, score, rank) from the ``probes`` nearest lists of each query."""
-    shared = queries.sparkSession.sparkContext.broadcast(centres)
+    @F.pandas_udf("binary")
+    def coded(vectors: pd.Series) -> pd.Series:
+        return vectors.map(codes.write)
 
-    @F.pandas_udf("array<int>")
-    def lists(vectors: pd.Series) -> pd.Series:
-        points, c = _matrix(vectors.tolist()), shared.value
-        far = (points**2).sum(1)[:, None] - 2 * points @ c.T + (c**2).sum(1)[None]
-        return pd.Series(list(far.argsort(axis=1)[:, :probes].astype("int32")))
+    there = rows.where(F.col(row_id).isNotNull() & _whole(F.col(vector)))
+    return there.select(F.col(row_id).alias("id"), F.size(vector).alias("width"), coded(vector).alias("code"))
 
+
+def search(indexed: DataFrame, rows: DataFrame, row_id: str, queries: DataFrame, query_id: str, vector: str, codes: Codes, k: int, looked_at: int, query_bytes: int = QUERY_BYTES) -> DataFrame:
+    """(query_id, id, score, rank) by L2 distance: the codes of all rows are read, and the ``looked_at`` nearest by code are measured exactly.
+
+    Only for these few are vectors fetched, by a join on their ids.
+    """
     from inkwell.functions.vectors import l2
 
-    asked = queries.where(F.size(vector) == centres.shape[1]).select(F.col(query_id).alias("query_id"), F.col(vector).alias("q"), F.explode(lists(vector)).alias("list"))
-    scored = indexed.join(asked, "list").select("query_id", "id", F.round(l2(F.col("vector"), F.col("q")), DIGITS).alias("score"))
-    best = Window.partitionBy("query_id").orderBy("score", "id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    schema = f"query_id {_kind(queries, query_id)}, id {_kind(rows, row_id)}, score double"
+    asked = _asked(queries, query_id, vector)
+    packed = indexed.select("id", F.struct("width", "code").alias("v"), F.lit(None).cast("string").alias("g"))
+    near = None
+    for shared in _sent(asked, query_bytes):
+
+        def nearest(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            return _nearest(batches, shared, looked_at, "l2", lambda v: codes.read(v["code"], v["width"]))
+
+        found = packed.mapInPandas(nearest, schema)
+        near = found if near is None else near.unionByName(found)
+    few = _ranked(near, looked_at, "l2").select("query_id", "id")
+    vectors = rows.select(F.col(row_id).alias("id"), F.col(vector).alias("v"))
+    exact = few.join(vectors, "id").join(asked.select("query_id", F.col("v").alias("q")), "query_id")
+    return _ranked(exact.select("query_id", "id", F.round(l2(F.col("v"), F.col("q")), DIGITS).alias("score")), k, "l2")
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

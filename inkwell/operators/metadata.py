@@ -27,19 +27,60 @@ def flatten(metadata: str) -> Column:
     return F.map_filter(F.map_concat(own, extra), lambda _, v: v.isNotNull())
 
 
-def unflatten(flat: Column) -> Column:
-    """The struct that a flat map stands for; file_type defaults to 'string', file_name to ''."""
+def unflatten(flat: Column, strict: bool = False) -> Column:
+    """The struct that a flat map stands for; file_type defaults to 'string', file_name to ''; ``strict``: a source that is none of ``SOURCES`` is null."""
     at = lambda key: F.try_element_at(flat, F.lit(key))
     info = F.struct(*(at(f"chunk_info.{name}").cast("int").alias(name) for name in CHUNK_INFO))
     extra = F.transform_keys(F.map_filter(flat, lambda k, _: k.startswith("extra.")), lambda k, _: F.substr(k, F.lit(7)))
     return F.struct(
         F.coalesce(at("file_type"), F.lit("string")).alias("file_type"), F.coalesce(at("file_name"), F.lit("")).alias("file_name"),
-        *(at(name).alias(name) for name in SCALARS[2:]), *(F.try_to_timestamp(at(name), F.lit(ISO)).alias(name) for name in TIMES),
+        *((source(at(name)) if strict and name == "source" else at(name)).alias(name) for name in SCALARS[2:]), *(F.try_to_timestamp(at(name), F.lit(ISO)).alias(name) for name in TIMES),
         (F.coalesce(at("is_chunk"), F.lit("false")) == "true").alias("is_chunk"), info.alias("chunk_info"), extra.alias("extra"),
         at("page").cast("int").alias("page"), F.from_json(at("outlines"), "array<string>").alias("outlines"),
     )
 
 
+def shown(flat: Column) -> Column:
+    """A flat map as one line, 'key=value' in order of the keys."""
+    return F.array_join(F.array_sort(F.transform(F.map_entries(flat), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ", ")
+
+
+# The sources that a page may name; any other is none.
+SOURCES = ("unknown", "PDF", "Microsoft Word", "Microsoft Excel", "LibreOffice Writer", "LibreOffice Calc", "Markdown")
+
+
+def source(name: Column) -> Column:
+    """A source's name as it is kept: null where it is none of ``SOURCES``, whose case counts."""
+    return F.when(name.isin(*SOURCES), name)
+
+
+def as_document(rows: DataFrame, chunk_id: str, content: str, metadata: str) -> DataFrame:
+    """(id, content, metadata): a chunk as a document of a store, its metadata flat and its vector left out."""
+    return rows.select(F.col(chunk_id).alias("id"), F.col(content).alias("content"), flatten(metadata).alias("metadata"))
+
+
+def as_chunk(documents: DataFrame) -> DataFrame:
+    """(id, content, metadata): a document of a store as a chunk again, its metadata a struct; content is stripped."""
+    from inkwell.functions.text import strip
+
+    return documents.select("id", strip(F.col("content")).alias("content"), unflatten(F.col("metadata"), strict=True).alias("metadata"))
+
+
+def parsed_json(text: Column) -> Column:
+    """A JSON object as a map from its keys to text; null for null, blank and broken text."""
+    return F.from_json(F.when(F.try_parse_json(text).isNotNull(), text), "map<string,string>")
+
+
+def exif_date(text: Column) -> Column:
+    """The time that an image names, as in 2024:05:01 12:30:00 or with slashes; anything else is null."""
+    return F.try_to_timestamp(F.replace(text, F.lit("/"), F.lit(":")), F.lit("yyyy:MM:dd HH:mm:ss"))
+
+
+def chunker(items: Column) -> Column:
+    """How a parsed file is cut: by its structure if it has items, else as a whole."""
+    return F.when(F.coalesce(F.size(items), F.lit(0)) > 0, "structural").otherwise("pass-through")
+
+
 def _resolve(schema: T.StructType, path: str) -> bool:
     kind: T.DataType = schema
     for part in path.split("."):
@@ -87,10 +128,13 @@ def _listed(trees) -> list[dict]:
     return [] if trees is None else trees if isinstance(trees, list) else [trees]
 
 
-# What a producer's name tells about the source of a PDF, in order.
+# What the names of a PDF's makers tell about its source; the first that is found counts.
 PRODUCERS = (
-    ("MS Excel", "(?i)(?=.*microsoft)(?=.*excel)"), ("MS Word", "(?i)(?=.*microsoft)(?=.*word)"), ("PDF", "(?i)adobe.*pdf|acrobat"),
-    ("LO Writer", "(?i)(?=.*libreoffice)(?=.*writer)|^writer$"), ("LO Calc", "(?i)(?=.*libreoffice)(?=.*calc)|^calc$"),
+    ("Microsoft Excel", "Microsoft.+Excel"),
+    ("Microsoft Word", "Microsoft.+Word"),
+    ("PDF", "Adobe.+PDF"),
+    ("LibreOffice Writer", "(?i)(?=.*LibreOffice)(?=.*Writer)"),
+    ("LibreOffice Calc", "(?i)(?=.*LibreOffice)(?=.*Calc)"),
 )
 
 

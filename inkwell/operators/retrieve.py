@@ -18,6 +18,34 @@ def keep_first(hits: DataFrame, keys: list[str], item: str) -> DataFrame:
     return first.select(*keys, item, "_first.list_no", "_first.rank").withColumn("position", F.row_number().over(order))
 
 
+#: What each mode of retrieval searches by: list 0 is the vector's, the others are the keywords'.
+MODES = ("embedding", "keywords", "mix")
+
+
+class EmptyModeError(ValueError):
+    """A mode of retrieval found nothing for any question."""
+
+
+def by_mode(hits: DataFrame, keys: list[str], item: str) -> DataFrame:
+    """(keys, eval_type, item, position): the hits of each mode kept first within it.
+
+    Mode 'embedding' takes list 0, 'keywords' the other lists, 'mix' all of them.
+    """
+    modes = F.array(F.when(F.col("list_no") == 0, F.lit("embedding")).otherwise(F.lit("keywords")), F.lit("mix"))
+    return keep_first(hits.withColumn("eval_type", F.explode(modes)), [*keys, "eval_type"], item).select(*keys, "eval_type", item, "position")
+
+
+def require_modes(found: DataFrame, asked: DataFrame, modes: tuple[str, ...] = MODES) -> DataFrame:
+    """The same rows; an error if a mode found nothing at all though something was asked."""
+    if asked.isEmpty():
+        return found
+    there = {r["eval_type"] for r in found.select("eval_type").distinct().collect()}
+    missing = [m for m in modes if m not in there]
+    if missing:
+        raise EmptyModeError(f"mode {missing[0]} retrieved nothing")
+    return found
+
+
 def render(hits: DataFrame, keys: list[str], order: str, content: str) -> DataFrame:
     """(keys, text): a count, then a block for each hit in order."""
     blocks = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(F.col(content), F.lit("")).alias("c"))))
@@ -28,6 +56,25 @@ def render(hits: DataFrame, keys: list[str], order: str, content: str) -> DataFr
     return hits.groupBy(*keys).agg(text.alias("text"))
 
 
+# The texts in which hits are handed on.
+NO_HITS = "未找到相關文件。"
+SOME_HITS = ("找到 ", " 個相關文件：")
+INFORMATION, CONTENT = "文件資訊: ", "內文: "
+
+
+def described(asked: DataFrame, hits: DataFrame, keys: list[str], order: str, file_name: str, information: str, content: str) -> DataFrame:
+    """(keys, text) for every row of ``asked``: how many hits, then file name, information and content of each in order.
+
+    A row without hits gets the text that says so; nulls are empty.
+    """
+    empty = lambda name: F.coalesce(F.col(name), F.lit(""))
+    block = F.concat(empty(file_name), F.lit("\n" + INFORMATION), empty(information), F.lit("\n" + CONTENT), empty(content), F.lit("\n"))
+    texts = hits.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), block.alias("b")))).alias("_blocks"))
+    head = F.concat(F.lit(SOME_HITS[0]), F.size("_blocks").cast("string"), F.lit(SOME_HITS[1]))
+    text = F.when(F.col("_blocks").isNull(), F.lit(NO_HITS)).otherwise(F.array_join(F.concat(F.array(head), F.transform("_blocks", lambda x: x["b"])), "\n"))
+    return asked.select(*keys).distinct().join(texts, keys, "left").select(*keys, text.alias("text"))
+
+
 def drawn(queries: DataFrame, query_id: str, rows: DataFrame, row_id: str) -> DataFrame:
     """(query_id, and the columns of rows): for each query one row, drawn from all rows by the hash of the query's id.
 

@@ -1,7 +1,8 @@
 """Tables with insert, update, delete, upsert: every change gives a new snapshot.
 
 Parquet tables have no MERGE; a change is an anti-join or a ranking, and ``swap`` writes the new snapshot beside
-the old one before a pointer file names it, so readers never see a half-written table.
+the old one.  The snapshot with the greatest number that Spark has marked as whole counts, so readers always find one
+and never see a half-written table.
 """
 
 from __future__ import annotations
@@ -68,14 +69,28 @@ def get(table: DataFrame, key: str, value) -> DataFrame:
     return table.where(F.col(key) == F.lit(value))
 
 
+def _whole_snapshots(spark: SparkSession, root: str) -> list[str]:
+    """The names of the snapshots under ``root`` whose job has ended, oldest first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/snapshot-*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(f.getPath().getParent().getName() for f in found or ())
+
+
+def exists(spark: SparkSession, root: str) -> bool:
+    return bool(_whole_snapshots(spark, root))
+
+
 def swap(df: DataFrame, root: str) -> str:
-    """Writes a snapshot under ``root`` and points to it; returns its path."""
-    spark = df.sparkSession
-    name = f"snapshot-{uuid.uuid4().hex}"
-    df.write.parquet(f"{root}/{name}")
-    spark.createDataFrame([(name,)], "name string").coalesce(1).write.mode("overwrite").text(f"{root}/current")
-    return f"{root}/{name}"
+    """Writes a snapshot under ``root``, which counts from the moment that it is whole; returns its path."""
+    names = _whole_snapshots(df.sparkSession, root)
+    number = int(names[-1].split("-")[1]) + 1 if names else 0
+    path = f"{root}/snapshot-{number:012d}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
 
 
 def current(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{spark.read.text(f'{root}/current').first()[0]}")
+    names = _whole_snapshots(spark, root)
+    if not names:
+        raise MissingError(f"there is no store under {root}")
+    return spark.read.parquet(f"{root}/{names[-1]}")

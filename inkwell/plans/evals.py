@@ -79,6 +79,29 @@ def faithfulness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.faithfulness(_rows(spark, sf_dir))
 
 
+def _sql_grade(claim: str, source: str) -> str:
+    return f"case when {_overlap(claim, source)} >= 0.8 then 1.0 when {_overlap(claim, source)} >= 0.4 then 0.5 else 0.0 end"
+
+
+@query(f"""
+with {_ONCE}, s as (select *, array_to_string(coalesce(retrieved_contexts, []), chr(10)) as c from e)
+select row_id, case when len(coalesce(retrieved_contexts, [])) > 0 then {_sql_grade('user_input', 'c')} end as context_relevance from s""")
+def context_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.context_relevance(_rows(spark, sf_dir))
+
+
+@query(f"with {_ONCE} select row_id, ({_sql_grade('response', 'reference')} + {_sql_grade('reference', 'response')}) / 2 as answer_accuracy from e")
+def answer_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.answer_accuracy(_rows(spark, sf_dir))
+
+
+@query(f"""
+with {_ONCE}, s as (select *, array_to_string(coalesce(retrieved_contexts, []), chr(10)) as c from e)
+select row_id, case when not {_BLANK('response')} then {_sql_grade('response', 'c')} end as groundedness from s""")
+def groundedness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.groundedness(_rows(spark, sf_dir))
+
+
 _SQL_CORRECT = f"""
 t as (select row_id, eval_type, list_distinct({sql_terms("coalesce(response, '')")}) as a, list_distinct({sql_terms("coalesce(reference, '')")}) as b from e),
 c as (select row_id, eval_type, len(a) as na, len(b) as nb, len(list_intersect(a, b)) as n from t),

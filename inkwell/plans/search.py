@@ -9,6 +9,7 @@ from inkwell.functions.text import terms
 from inkwell.functions.vectors import cosine, l2
 from inkwell.operators import knn, lexical, metadata, retrieve
 from inkwell.plans.registry import query, table
+from inkwell.plans.texts import SQL_SHOWN
 
 K = 5
 WIDE = "\\x{3040}-\\x{30ff}\\x{31f0}-\\x{31ff}\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}\\x{f900}-\\x{faff}\\x{3005}\\x{0e01}-\\x{0e5b}"
@@ -95,20 +96,18 @@ s as (select query_id, e.vec_id as id, round(list_cosine_similarity(e.embedding:
 r as (select *, row_number() over (partition by query_id order by score desc, id) as rank from s)
 select query_id, id, score from r where rank = 1""")
 def most_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each query the nearest other vector of its own label."""
+    """For each query the nearest other vector of its own label; labels never meet in one task."""
     rows = table(spark, sf_dir, "embeddings")
-    asked = _queries_where(rows, "vec_id").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("v"))
-    scored = rows.join(asked, "label").where(F.col("vec_id") != F.col("query_id")).select("query_id", F.col("vec_id").alias("id"), F.round(cosine(F.col("embedding"), F.col("v")), 6).alias("score"))
-    return scored.groupBy("query_id").agg(F.min_by(F.struct("id", "score"), F.struct(-F.col("score"), "id")).alias("m")).select("query_id", "m.id", "m.score")
+    return knn.knn(rows, "vec_id", _queries_where(rows, "vec_id"), "vec_id", "embedding", 1, "cosine", group="label").select("query_id", "id", "score")
 
 
 @query()
 def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recall of the inverted file against exact search, per query; every row is in the index."""
+    """Recall of the index of codes against exact search, per query; every row is in the index, an eighth of the bytes is read."""
     rows = table(spark, sf_dir, "embeddings")
     asked = _queries_where(rows, "vec_id")
-    centres = knn.fit_lists(rows, "embedding", 32)
-    found = knn.probe(knn.index(rows, "vec_id", "embedding", centres), asked, "vec_id", "embedding", centres, 10, 24)
+    codes = knn.fit_codes(rows, "embedding")
+    found = knn.search(knn.index(rows, "vec_id", "embedding", codes), rows, "vec_id", asked, "vec_id", "embedding", codes, 10, 50)
     return knn.recall(found, knn.knn(rows, "vec_id", asked, "vec_id", "embedding", 10))
 
 
@@ -233,11 +232,42 @@ def _chunk_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _gold(spark, sf_dir).select(F.col("line_no").cast("long").alias("query_id")).distinct()
     near = knn.knn(usable, "id", retrieve.drawn(lines, "query_id", usable, "id"), "query_id", "embedding", 3)
     texts = rows.select("id", "content").dropDuplicates(["id"])
-    words = lexical.bm25(texts, "id", "content", _keywords(spark, sf_dir), "query_id", "keyword", 3, keep=True)
+    words = lexical.bm25(texts, "id", "content", _keywords(spark, sf_dir), "query_id", "keyword", 3)
     found = words.select(F.floor(F.col("query_id") / 1000).alias("query_id"), F.col("doc_id").alias("item"), (F.col("query_id") % 1000).alias("list_no"), "rank")
     return near.select("query_id", F.col("id").alias("item"), F.lit(0).cast("long").alias("list_no"), "rank").unionByName(found)
 
 
+_NUMBER = F.conv(F.substring(F.md5("id"), 1, 15), 16, 10).cast("long")
+
+
+def _sql_chunk_knn(score: str, order: str, where: str = "true") -> str:
+    return f"""
+with c as (select id, any_value(embedding::double[]) as x, any_value(metadata.file_type) as file_type from chunks where id is not null and len(embedding) = 8 and len(list_filter(embedding, lambda x: x is null)) = 0 group by id),
+q as (select id as query_id, x as v from c where ('0x' || substring(md5(id), 1, 15))::bigint % 100 = 0),
+s as (select query_id, c.id as id, round({score}, 6) as score from q, c where {where}),
+r as (select *, row_number() over (partition by query_id order by {order}, id) as rank from s)
+select query_id, id, score, rank from r where rank <= {K}"""
+
+
+def _chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _once(spark, sf_dir).where(F.size("embedding") == 8).select("id", "embedding", F.col("metadata.file_type").alias("file_type")).dropDuplicates(["id"])
+
+
+@query(_sql_chunk_knn("list_distance(c.x, v)", "score"))
+def knn_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks nearest to every chunk whose hashed id is divisible by 100."""
+    rows = _chunk_vectors(spark, sf_dir)
+    return knn.knn(rows, "id", rows.where(_NUMBER % 100 == 0), "id", "embedding", K, width=8)
+
+
+@query(_sql_chunk_knn("list_cosine_similarity(c.x, v)", "score desc", "c.file_type in ('pdf', 'image')"))
+def knn_chunks_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by cosine among scanned chunks; the filter comes before the ranking."""
+    rows = _chunk_vectors(spark, sf_dir)
+    kept = rows.where(metadata.condition(rows, {"terms": {"file_type": ["pdf", "image"]}}))
+    return knn.knn(kept, "id", rows.where(_NUMBER % 100 == 0), "id", "embedding", K, "cosine", width=8)
+
+
 _SQL_CHUNKS = "(select id as doc_id, any_value(content) as text from chunks where id is not null group by id)"
 _SQL_CHUNK_HITS = f"""
 usable as (select id, any_value(embedding::double[]) as x from chunks where id is not null and len(embedding) = 8 and len(list_filter(embedding, lambda x: x is null)) = 0 group by id),
@@ -250,6 +280,33 @@ firsts as (select query_id, item, min((list_no, rank)) as f from hits group by a
 placed as (select query_id, item, row_number() over (partition by query_id order by f, item) as position from firsts)"""
 
 
+@query(_sql_bm25(rows=_SQL_CHUNKS))
+def bm25_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best chunks for each question asked, over all contents, once per id."""
+    texts = _once(spark, sf_dir).select("id", "content").dropDuplicates(["id"])
+    return lexical.bm25(texts, "id", "content", _gold(spark, sf_dir), "line_no", "query", K)
+
+
+@query(f"""with {_SQL_CHUNK_HITS},
+moded as (select query_id, eval_type, item, min((list_no, rank)) as f from (select *, case when list_no = 0 then 'embedding' else 'keywords' end as eval_type from hits union all select *, 'mix' from hits) group by all)
+select query_id, eval_type, item, row_number() over (partition by query_id, eval_type order by f, item) as position from moded""")
+def mode_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each question finds by its vector, by its keywords and by both; an error if a mode finds nothing at all."""
+    return retrieve.require_modes(retrieve.by_mode(_chunk_hits(spark, sf_dir), ["query_id"], "item").persist(), _gold(spark, sf_dir))
+
+
+@query(f"""with {_SQL_CHUNK_HITS},
+c as (select id, any_value(content) as content, any_value(metadata) as m from chunks where id in (select item from placed) group by id),
+b as (select query_id, count(*) as n, string_agg(coalesce(m.file_name, '') || chr(10) || '文件資訊: ' || {SQL_SHOWN} || chr(10) || '內文: ' || coalesce(content, '') || chr(10), chr(10) order by position) as t from placed join c on id = item group by query_id)
+select line_no as query_id, case when t is null then '未找到相關文件。' else '找到 ' || n || ' 個相關文件：' || chr(10) || t end as text from (select distinct line_no from jp_reference where line_no % 100 = 0) left join b on query_id = line_no""")
+def describe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hits of each question as a text with file names and metadata, or the text that there are none."""
+    few = hybrid_chunks(spark, sf_dir)
+    rows = _once(spark, sf_dir).select(F.col("id").alias("item"), "content", F.col("metadata.file_name").alias("file_name"), metadata.shown(metadata.flatten("metadata")).alias("information"))
+    hits = few.join(rows, "item").dropDuplicates(["query_id", "item"])
+    return retrieve.described(_gold(spark, sf_dir).select(F.col("line_no").cast("long").alias("query_id")), hits, ["query_id"], "position", "file_name", "information", "content")
+
+
 @query(f"with {_SQL_CHUNK_HITS} select query_id, item, position from placed")
 def hybrid_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid retrieval over the whole corpus of chunks."""

@@ -67,13 +67,63 @@ def task_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once.groupBy("trigger_type", "status").agg(F.count("*").alias("tasks"), F.count("started_at").alias("started"), F.count("finished_at").alias("finished"), F.sum("chunk_count").alias("chunks"))
 
 
-@query("select task_id, document_id from ingest_tasks where document_id in (select document_id from catalog_files where status <> 'failed') group by all")
+@query("select task_id, document_id from ingest_tasks where document_id in (select document_id from catalog_files where status is distinct from 'failed') group by all")
 def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tasks that stay when failed documents are deleted."""
-    kept = store.delete_where(table(spark, sf_dir, "catalog_files"), F.col("status") == "failed").where(F.col("status").isNotNull())
+    """Tasks that stay when failed documents are deleted; a document without a status stays."""
+    kept = store.delete_where(table(spark, sf_dir, "catalog_files"), F.col("status") == "failed")
     return table(spark, sf_dir, "ingest_tasks").join(kept.select("document_id"), "document_id", "left_semi").select("task_id", "document_id").distinct()
 
 
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run over all documents gave: chunks of those that have some, an error of the others."""
+    n = table(spark, sf_dir, "chunks").groupBy(F.col("metadata.file_name").alias("file_name")).agg(F.count_distinct("id").cast("int").alias("chunk_count"))
+    files = table(spark, sf_dir, "catalog_files").select("document_id", "file_name")
+    return files.join(n, "file_name", "left").select("document_id", "chunk_count", F.when(F.col("chunk_count").isNull(), "no chunks").alias("error"))
+
+
+_SQL_RESULTS = """
+n as (select metadata.file_name as file_name, count(distinct id)::int as chunks from chunks group by 1),
+results as (select document_id, chunks, case when chunks is null then 'no chunks' end as error from catalog_files left join n using (file_name)),
+clock as (select max(updated_at) as now from catalog_files)"""
+
+
+def _now(spark: SparkSession, sf_dir: str):
+    return F.lit(table(spark, sf_dir, "catalog_files").agg(F.max("updated_at")).first()[0])
+
+
+@query("""
+with clock as (select max(updated_at) as now from catalog_files)
+select document_id, 'manual' as trigger_type, 'running' as status, 0 as retry_count, now::timestamp as started_at from catalog_files, clock where not (status = 'ingested' and not needs_reingest) or status is null or needs_reingest is null""")
+def tasks_started(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A running task for every document that is due."""
+    new = catalog.started(table(spark, sf_dir, "catalog_files"), "manual", _now(spark, sf_dir))
+    return new.drop("task_id").withColumn("started_at", F.col("started_at").cast("timestamp_ntz"))
+
+
+@query(f"""
+with {_SQL_RESULTS}, o as (select * from ingest_tasks qualify row_number() over (partition by task_id order by updated_at desc nulls last, created_at desc nulls last) = 1)
+select task_id, case when status <> 'running' or r.document_id is null then status when error is null then 'success' else 'failed' end as status,
+ case when status = 'running' and r.document_id is not null and error is null then chunks else chunk_count end as chunk_count,
+ case when status = 'running' and r.document_id is not null then now else finished_at end::timestamp as finished_at, case when status = 'running' and error is null and r.document_id is not null then now else vector_sync_at end::timestamp as vector_sync_at,
+ case when status = 'running' and error is not null then error else error_message end as error_message, case when status = 'running' and error is not null then coalesce(retry_count, 0) + 1 else retry_count end as retry_count
+from o left join results r on o.document_id = r.document_id, clock""")
+def tasks_finished(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running tasks after the results of their documents came in."""
+    done = catalog.finished(catalog.tasks_once(table(spark, sf_dir, "ingest_tasks")), _results(spark, sf_dir), _now(spark, sf_dir))
+    times = {name: F.col(name).cast("timestamp_ntz") for name in ("finished_at", "vector_sync_at")}
+    return done.select("task_id", "status", "chunk_count", "finished_at", "vector_sync_at", "error_message", "retry_count").withColumns(times)
+
+
+@query(f"""
+with {_SQL_RESULTS}
+select c.document_id as document_id, case when error is null then 'ingested' else 'failed' end as status, error is not null as needs_reingest, case when error is null then chunks else chunk_count end as chunk_count,
+ case when error is null then now else last_ingested_at end::timestamp as last_ingested_at, case when error is null then now else lexical_synced_at end::timestamp as lexical_synced_at
+from catalog_files c join results r on c.document_id = r.document_id, clock""")
+def documents_written_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog after a run over all documents."""
+    done = catalog.written_back(table(spark, sf_dir, "catalog_files"), _results(spark, sf_dir), _now(spark, sf_dir))
+    times = {name: F.col(name).cast("timestamp_ntz") for name in ("last_ingested_at", "lexical_synced_at")}
+    return done.select("document_id", "status", "needs_reingest", "chunk_count", "last_ingested_at", "lexical_synced_at").withColumns(times)
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

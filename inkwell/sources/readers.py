@@ -1,7 +1,8 @@
 """Readers of files: gold lines, markdown, office documents, and plug-ins for what needs a model.
 
 Every reader gives (path, content, metadata..., items) rows from ``binaryFile`` or ``text`` scans, so files are
-spread over tasks; a file is parsed by one task.  Broken files give a row with ``error`` and no content.
+spread over tasks; a file is parsed by one task.  Broken files give a row with ``error`` and no content; a sheet with cells
+beyond the limits keeps its content and names them there.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from inkwell.functions.text import strip
 
@@ -27,10 +29,22 @@ _SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, line): lines of text files, numbered from 1 in each file.
+
+    A file is split over tasks.  Lines are numbered where they lie; how many lines the blocks before have is counted and
+    added, one small row per block.
+    """
+    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("_at"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"))
+    counts = lines.groupBy("file", "_block").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return lines.join(offsets, ["file", "_block"]).select("file", (F.col("_before") + F.col("_at") - F.col("_first") + 1).cast("int").alias("line_no"), F.col("value").alias("line"))
+
+
 def gold(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, query, keywords, reference): lines of JSON; blank lines are skipped but counted."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
-    parsed = lines.where(strip(F.col("line")) != "").select((F.col("line_no") + 1).alias("line_no"), F.from_json("line", GOLD).alias("j"))
+    parsed = numbered_lines(spark, path).where(strip(F.col("line")) != "").select("line_no", F.from_json("line", GOLD).alias("j"))
     return parsed.select("line_no", "j.query", F.coalesce("j.keywords", F.array().cast("array<string>")).alias("keywords"), "j.reference")
 
 
@@ -130,7 +144,7 @@ def parse_xlsx(data: bytes) -> dict:
     shared = []
     if "xl/sharedStrings.xml" in archive.namelist():
         shared = ["".join(t.text or "" for t in s.iter(f"{_SHEET}t")) for s in ElementTree.fromstring(archive.read("xl/sharedStrings.xml"))]
-    items = []
+    items, beyond = [], 0
     for name in sorted(n for n in archive.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)):
         cells: dict[tuple[int, int], str] = {}
         for cell in ElementTree.fromstring(archive.read(name)).iter(f"{_SHEET}c"):
@@ -141,17 +155,23 @@ def parse_xlsx(data: bytes) -> dict:
                 text = shared[int(text)]
             if m and text and int(m.group(2)) <= MAX_ROWS and _column(m.group(1)) <= MAX_COLUMNS:
                 cells[int(m.group(2)), _column(m.group(1))] = text
+            elif m and text:
+                beyond += 1
         for top, left, bottom, right in tables(cells):
             rows = ["| " + " | ".join(cells.get((r, c), "") for c in range(left, right + 1)) + " |" for r in range(top, bottom + 1)]
             items.append((len(items), "table", None, "\n".join(rows)))
-    return _core(archive) | {"content": "\n\n".join(i[3] for i in items), "items": items}
+    note = {"error": f"{beyond} cells beyond {MAX_ROWS} x {MAX_COLUMNS} were left out"} if beyond else {}
+    return _core(archive) | {"content": "\n\n".join(i[3] for i in items), "items": items} | note
 
 
 PARSERS: dict[str, Callable[[bytes], dict]] = {"md": parse_markdown, "markdown": parse_markdown, "docx": parse_docx, "xlsx": parse_xlsx}
 
 
-def files(spark: SparkSession, path: str, parsers: dict[str, Callable[[bytes], dict]] | None = None) -> DataFrame:
-    """Files of all types that have a parser; ``parsers`` adds plug-ins, as for PDF and images, by suffix."""
+def files(spark: SparkSession, path: str | list[str], parsers: dict[str, Callable[[bytes], dict]] | None = None) -> DataFrame:
+    """Files of all types that have a parser, under one path or several; ``parsers`` adds plug-ins, as for PDF and images, by suffix.
+
+    A file that names no time of its change has that of the file system.
+    """
     known = PARSERS | (parsers or {})
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -167,9 +187,13 @@ def files(spark: SparkSession, path: str, parsers: dict[str, Callable[[bytes], d
                 out.append([where, *(row.get(n) for n in names)])
             yield pd.DataFrame(out, columns=["path", *names])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, PARSED)
+    found = spark.read.format("binaryFile").load(path)
+    times = found.select(F.col("path").alias("_path"), F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss").alias("_changed"))
+    parsed = found.select("path", "content").mapInPandas(parse, PARSED)
+    changed = F.coalesce("modified_at", "_changed")
+    return parsed.join(times, F.col("path") == F.col("_path")).withColumn("modified_at", changed).drop("_path", "_changed")
 
 
-def checksums(spark: SparkSession, path: str) -> DataFrame:
+def checksums(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(source_path, checksum, filesize_bytes) of files, for the catalog."""
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("source_path"), F.sha2("content", 256).alias("checksum"), F.col("length").alias("filesize_bytes"))

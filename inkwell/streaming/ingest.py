@@ -6,7 +6,6 @@ An extension: the same operators as in batch run on each micro-batch.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from inkwell.operators import store
@@ -26,7 +25,7 @@ def into_store(rows: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
 
     def merge(batch: DataFrame, _: int) -> None:
         once = store.latest(batch, ["id"], ["ingested_at"])
-        if _exists(batch.sparkSession, root):
+        if store.exists(batch.sparkSession, root):
             old = store.current(batch.sparkSession, root)
             both = store.latest(old.unionByName(once), ["id"], ["ingested_at"])
         else:
@@ -34,13 +33,3 @@ def into_store(rows: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
         store.swap(both, root)
 
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def _exists(spark: SparkSession, root: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/current")
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-
-
-def windowed(events: DataFrame, width: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
-    """Counts and sums of events by time window and kind, late ones within the delay included."""
-    return events.withWatermark("ts", delay).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))

@@ -53,7 +53,7 @@ def test_knn_equals_brute_force_in_blocks(spark):
     data = [(i, p.tolist(), "x") for i, p in enumerate(points)] + [(300, None, "x"), (301, [], "x"), (302, [1.0], "x"), (303, points[7].tolist(), "x")]
     df = spark.createDataFrame(data, "id bigint, v array<float>, score string")
     asked = df.where("id % 50 = 7")
-    got = {(r.query_id, r["rank"]): r.id for r in knn.knn(df, "id", asked, "id", "v", 4, query_block=2).collect()}
+    got = {(r.query_id, r["rank"]): r.id for r in knn.knn(df, "id", asked, "id", "v", 4, query_bytes=96).collect()}
     exact = np.array([np.asarray(p, np.float32) for p in points]).astype(float)
     for q in range(7, 300, 50):
         d = np.round(np.sqrt(((exact - exact[q]) ** 2).sum(1)), 6)
@@ -68,6 +68,45 @@ def test_knn_of_empty_tables(spark):
     assert knn.knn(full, "id", df, "id", "v", 3).count() == 0
 
 
+def test_wrong_width_is_an_error_and_mixed_widths_are_none(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0])], "id bigint, v array<float>")
+    with pytest.raises(ValueError, match="1 values instead of 2"):
+        knn.knn(df, "id", df, "id", "v", 3, width=2)
+    assert rows(knn.knn(df, "id", df, "id", "v", 3).select("query_id", "id")) == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 3)]
+
+
+def test_wide_vectors_and_the_index_of_codes(spark):
+    rng = np.random.default_rng(3)
+    points = rng.normal(size=(400, 1536)).round(3)
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)] + [(400, None)], "id bigint, v array<float>")
+    asked = df.where("id % 100 = 0")
+    codes = knn.fit_codes(df, "v")
+    indexed = knn.index(df, "id", "v", codes)
+    assert indexed.count() == 400 and {r.width for r in indexed.select("width").distinct().collect()} == {1536}
+    exact = knn.knn(df, "id", asked, "id", "v", 5)
+    found = knn.search(indexed, df, "id", asked, "id", "v", codes, 5, 20)
+    assert min(r.recall for r in knn.recall(found, exact).collect()) >= 0.9
+    assert knn.fit_codes(df.limit(0), "v").read(b"", 0).shape == (0,)
+    odd = knn.Codes(-1.0, 1.0)
+    assert len(odd.read(odd.write([0.1, -2.0, 2.0]), 3)) == 3
+
+
+def test_terms_are_counted_inside_the_row(spark):
+    random.seed(11)
+    texts = [" ".join(random.choices("abcdefgh", k=n)) for n in (1, 5, 60, 3000)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {(r.doc_id, r.term): (r.tf, r.length) for r in lexical.postings(df, "id", "t").collect()}
+    assert got == {(i, w): (t.split().count(w), len(t.split())) for i, t in enumerate(texts) if t for w in set(t.split())}
+
+
+def test_many_asked_terms_are_joined(spark):
+    random.seed(12)
+    docs = spark.createDataFrame([(i, " ".join(random.choices("abcdefghijkl", k=12))) for i in range(40)] + [(99, None)], "id int, t string")
+    asked = spark.createDataFrame([(1, "a b zz"), (2, "c c k"), (3, None), (4, "")], "q int, t string")
+    same = [rows(lexical.bm25(docs, "id", "t", asked, "q", "t", 5, most_terms=n).select("query_id", "doc_id", "score", "rank")) for n in (0, 100)]
+    assert same[0] == same[1] and len(same[0]) == 10
+
+
 def test_cosine_order_and_ties(spark):
     df = spark.createDataFrame([(1, [0.9, 0.1]), (2, [0.0, 1.0]), (3, [0.7, 0.3]), (4, [0.9, 0.1]), (5, [0.0, 0.0])], "id bigint, v array<float>")
     q = spark.createDataFrame([(0, [1.0, 0.0])], "id bigint, v array<float>")
@@ -224,7 +263,36 @@ def test_box_golden_values(spark):
     boxes = spark.createDataFrame([(1, 0, 5, 5, 15, 12, "A"), (1, 1, 14, 5, 24, 12, "B"), (1, 2, 40, 30, 50, 38, "C"), (2, 0, 0, 0, 1, 1, "D")], "page int, i int, x_min int, y_min int, x_max int, y_max int, text string")
     assert rows(geometry.overlapping(boxes, "page", "i")) == [(1, 0, 1)]
     assert rows(geometry.components(boxes, "page", "i")) == [(1, 0, 0), (1, 1, 0), (1, 2, 2), (2, 0, 0)]
-    assert rows(geometry.reading_groups(boxes, "page", "i", "text")) == [(1, 0, "A\nB", 2), (1, 1, "C", 1), (2, 0, "D", 1)]
+    groups = geometry.reading_groups(boxes, "page", "i", "text")
+    assert rows(groups.drop("box")) == [(1, 0, "A\nB", 2), (1, 1, "C", 1), (2, 0, "D", 1)]
+    assert [r.box for r in groups.where("page = 1 and group_no = 0").collect()] == [[[5, 12], [5, 5], [15, 5], [15, 12]]]
+    assert geometry.reading_groups(boxes.limit(0), "page", "i", "text").count() == 0
+
+
+@pytest.mark.parametrize("low, high, grown", [(5, 12, (1, 16)), (3, 12, (-1, 16)), (0, 1, (0, 1)), (0, 3, (-2, 5)), (0, 5, (-2, 7))])
+def test_growth_is_rounded_before_it_is_added(spark, low, high, grown):
+    x = geometry.expanded(F.lit(low), F.lit(high), ratio=2)
+    assert tuple(spark.range(1).select(*x).first()) == grown
+
+
+def test_links_reach_through_others(spark):
+    random.seed(9)
+    data = [(0, i, random.randrange(200), random.randrange(200)) for i in range(60)]
+    boxes = spark.createDataFrame([(p, i, x, y, x + 14, y + 9) for p, i, x, y in data], "page int, i int, x_min int, y_min int, x_max int, y_max int")
+    root = list(range(60))
+    for _ in range(60):
+        for _, i, x, y in data:
+            for _, j, u, v in data:
+                if abs(x - u) <= 14 and abs(y - v) <= 9:
+                    root[i] = root[j] = min(root[i], root[j])
+    assert rows(geometry.components(boxes, "page", "i")) == [(0, i, root[i]) for i in range(60)]
+
+
+def test_a_page_above_the_bound_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(geometry, "MOST_BOXES", 2)
+    boxes = spark.createDataFrame([(1, i, 0, 0, 1, 1) for i in range(3)], "page int, i int, x_min int, y_min int, x_max int, y_max int")
+    with pytest.raises(Exception, match="more than 2 boxes"):
+        geometry.components(boxes, "page", "i").collect()
 
 
 def test_greedy_clusters(spark):
@@ -233,6 +301,30 @@ def test_greedy_clusters(spark):
     assert geometry.greedy_clusters(points.limit(0), "page", "i", 10, 10).count() == 0
 
 
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_clusters_against_brute_force(spark, least):
+    random.seed(least)
+    data = [(1, i, random.randrange(120), random.randrange(120)) for i in range(50)]
+    owner, clusters = {}, []
+    for _, i, x, y in data:
+        near = [j for _, j, u, v in data if abs(u - x) <= 12 and abs(v - y) <= 20]
+        if i not in owner and len(near) >= least:
+            clusters.append([j for j in near if j not in owner])
+            owner.update({j: 1 for j in near})
+    clusters += [[i] for _, i, _, _ in data if i not in owner]
+    mean = lambda c, k: sum(data[i][k] for i in c) / len(c)
+    clusters.sort(key=lambda c: (mean(c, 3), mean(c, 2)))
+    want = sorted((1, i, n) for n, c in enumerate(clusters) for i in c)
+    points = spark.createDataFrame(data, "page int, i int, x int, y int")
+    assert rows(geometry.greedy_clusters(points, "page", "i", 12, 20, least)) == want
+
+
+def test_crops_keep_score_and_polygon(spark):
+    found = spark.createDataFrame([("f", 1, [[10, 20], [30, 20], [30, 40], [10, 40]], 0.9, 35, 45), ("f", 1, [], None, 35, 45)], "filename string, page int, poly array<array<int>>, score double, width int, height int")
+    got = [(r.x_min, r.y_min, r.x_max, r.y_max, r.score, r.expand_ratio) for r in geometry.crops(found, 2.0).collect()]
+    assert got == [(0, 10, 35, 45, 0.9, 2.0), (None, None, None, None, None, 2.0)]
+
+
 def test_pixel_golden_values(spark):
     px = spark.createDataFrame([(1, 210, 210, 210), (1, 200, 255, 255)], "page int, r int, g int, b int")
     c = pixels.enhanced(F.col("r"), F.col("g"), F.col("b"), "white", 200, 30, 0.5, 10)
@@ -240,3 +332,177 @@ def test_pixel_golden_values(spark):
     assert pixels.background(spark.createDataFrame([(1, 128, 128, 128)], px.schema), "page").first().background == "white"
     with pytest.raises(ValueError):
         pixels.mask(F.col("r"), F.col("g"), F.col("b"), "red", 1)
+
+
+# ---------------------------------------------------------------- ranks, tables, tokens
+
+def test_ranks_over_many_tasks(spark):
+    random.seed(2)
+    data = [(random.choice(["hot"] * 6 + ["b", "c", None]), random.choice([None, *range(30)]), f"id{i:04d}", "x") for i in range(3000)]
+    df = spark.createDataFrame(data, "f string, i int, id string, rank string").drop("rank").repartition(6)
+    got = {r.id: (r["rank"], r.total) for r in chunking.ranks(df, ["f"], [F.col("i").asc_nulls_last(), F.col("id")]).collect()}
+    by = {}
+    for f, i, name, _ in data:
+        by.setdefault(f, []).append((i is None, i or 0, name))
+    assert got == {name: (n, len(rows_)) for rows_ in by.values() for n, (_, _, name) in enumerate(sorted(rows_))}
+    assert chunking.ranks(df.limit(0), ["f"], [F.col("id")]).count() == 0
+
+
+def test_packing_takes_long_texts(spark):
+    text = "\n".join(f"line {i}" for i in range(60_000))
+    df = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "\n\n"), (5, "a")], "doc_id int, text string")
+    got = chunking.packed_lines(df, "doc_id", "text", 100).orderBy("doc_id", "chunk_index").collect()
+    assert "\n".join(r.content for r in got if r.doc_id == 1) == text and max(r.chunk_size for r in got) <= 100
+    assert [(r.doc_id, r.content, r.total_chunks) for r in got if r.doc_id != 1] == [(5, "a", 1)]
+
+
+def test_chunks_within_a_budget_of_tokens(spark):
+    from inkwell.functions import tokens
+
+    long = "One sentence is here. " * 60 + "x" * 700
+    items = [(0, "title", None, "T"), (1, "paragraph", None, long), (2, "paragraph", None, "short"), (3, "paragraph", None, "also short"), (4, "list_item", None, "a"), (5, "paragraph", None, None)]
+    df = spark.createDataFrame([(1, items), (2, [])], "result_id int, items array<struct<item_no int, label string, level int, text string>>")
+    got = chunking.structural_tokens(df, "result_id", "items", 40).orderBy("chunk_index").collect()
+    assert max(r.chunk_tokens for r in got) <= 40 and all(r.chunk_tokens == tokens.token_count(r.content, tokens.DEFAULT) for r in got)
+    assert "".join(r.content for r in got if r.heading_no == 1).replace("\n", "") == (long + "short" + "also short")
+    assert [r.content for r in got][-1] == "a" and all(r.total_chunks == len(got) for r in got)
+
+
+def test_table_as_json_by_columns(spark):
+    df = spark.createDataFrame([(1, [("1", 'a"'), (None, "11")]), (2, [])], "t int, rows array<struct<n: string, m: string>>")
+    got = {(r.table_id, r.part): r.json for r in chunking.table_columns(df, "t", ["n", "m"], "rows", 2).collect()}
+    assert got[1, "Table Part 001"] == '{\n  "col000":{\n    "column_name":"row_name",\n    "row000":"0",\n    "row001":"1"\n  },\n  "col001":{\n    "column_name":"n",\n    "row000":"1",\n    "row001":null\n  }\n}'
+    assert got[1, "Table Part 002"] == '{\n  "col002":{\n    "column_name":"m",\n    "row000":"a\\"",\n    "row001":"11"\n  }\n}'
+    assert got[2, "Table Part 002"] == '{\n  "col002":{\n    "column_name":"m"\n  }\n}'
+
+
+# ---------------------------------------------------------------- pixels, metadata
+
+def test_variants_golden_values(spark):
+    px = spark.createDataFrame([(210, 210, 210), (90, 95, 100), (250, 20, 30), (255, 255, 255), (0, 0, 0)], "r int, g int, b int")
+    got = {name: [tuple(r) for r in px.select(*v(F.col("r"), F.col("g"), F.col("b"))).collect()] for name, v in pixels.VARIANTS.items()}
+    assert got["02U_invert"] == [(15, 15, 15), (228, 227, 225), (255, 255, 255), (0, 0, 0), (255, 255, 255)]
+    assert got["02L_invert"] == [(45, 45, 45), (255, 255, 255), (255, 255, 255), (0, 0, 0), (255, 255, 255)]
+    assert got["11_color2black"] == [(255, 255, 255), (255, 255, 255), (0, 0, 0), (255, 255, 255), (255, 255, 255)]
+    assert got["51_color_filter"] == [(255, 255, 255), (90, 95, 100), (255, 255, 255), (255, 255, 255), (0, 0, 0)]
+
+
+@pytest.mark.parametrize("producer, source", [
+    ("Microsoft® Word for Microsoft 365", "Microsoft Word"), ("Microsoft Excel 2019", "Microsoft Excel"), ("microsoft excel", "unknown"), ("Excel for Microsoft 365", "unknown"), ("Acrobat Distiller", "unknown"),
+    ("Adobe PDF Library 15", "PDF"), ("LibreOffice 7.2 Writer", "LibreOffice Writer"), ("calc libreoffice", "LibreOffice Calc"), ("Writer", "unknown"), (None, "unknown"), ("", "unknown"),
+])
+def test_producers(spark, producer, source):
+    assert spark.createDataFrame([(producer,)], "p string").select(metadata.pdf_source(F.col("p"))).first()[0] == source
+
+
+def test_small_column_functions(spark):
+    df = spark.createDataFrame([('{"a": 1}', "2024:05:01 12:30:00"), ("{}", "2024/05/01 12:30:00"), ("{", "1.5.2024"), (None, None), (" ", "")], "j string, d string")
+    got = df.select(metadata.parsed_json(F.col("j")).alias("j"), F.date_format(metadata.exif_date(F.col("d")), "HH:mm").alias("d")).collect()
+    assert [r.j for r in got] == [{"a": "1"}, {}, None, None, None] and [r.d for r in got] == ["12:30", "12:30", None, None, None]
+
+
+# ---------------------------------------------------------------- retrieval
+
+def test_modes_and_texts_of_hits(spark):
+    hits = spark.createDataFrame([(1, "a", 0, 1), (1, "b", 1, 1), (1, "a", 2, 1), (2, "c", 0, 1)], "q int, item string, list_no int, rank int")
+    got = retrieve.by_mode(hits, ["q"], "item")
+    assert rows(got.select("q", "eval_type", "position", "item")) == [(1, "embedding", 1, "a"), (1, "keywords", 1, "b"), (1, "keywords", 2, "a"), (1, "mix", 1, "a"), (1, "mix", 2, "b"), (2, "embedding", 1, "c"), (2, "mix", 1, "c")]
+    asked = spark.createDataFrame([(1,), (3,)], "q int")
+    assert retrieve.require_modes(got, asked).count() == 7 and retrieve.require_modes(got.limit(0), asked.limit(0)).count() == 0
+    with pytest.raises(retrieve.EmptyModeError, match="keywords"):
+        retrieve.require_modes(retrieve.by_mode(hits.where("list_no = 0"), ["q"], "item"), asked)
+    found = spark.createDataFrame([(1, 2, None, None, "zwei"), (1, 1, "f.md", "page=1", "eins")], "q int, position int, f string, i string, c string")
+    texts = dict(rows(retrieve.described(asked, found, ["q"], "position", "f", "i", "c")))
+    assert texts == {1: "找到 2 個相關文件：\nf.md\n文件資訊: page=1\n內文: eins\n\n\n文件資訊: \n內文: zwei\n", 3: "未找到相關文件。"}
+
+
+def test_nearest_of_the_same_group(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0], "x"), (2, [0.9, 0.1], "y"), (3, [0.0, 1.0], "x"), (4, [1.0, 0.0], None)], "id bigint, v array<float>, g string")
+    assert rows(knn.knn(df, "id", df, "id", "v", 1, group="g").select("query_id", "id")) == [(1, 3), (3, 1)]
+
+
+# ---------------------------------------------------------------- evaluation
+
+def test_grades_and_another_judge(spark):
+    data = [(1, "red cat", ["a red cat"], "a red cat", "red cat"), (2, "red cat", ["dog"], "dog", "red cat sat"), (3, "red cat", [], None, "x"), (4, None, None, "", None)]
+    df = spark.createDataFrame(data, "row_id int, user_input string, retrieved_contexts array<string>, response string, reference string")
+    assert rows(evaluate.context_relevance(df)) == [(1, 1.0), (2, 0.0), (3, None), (4, None)]
+    assert rows(evaluate.answer_accuracy(df)) == [(1, 0.75), (2, 0.0), (3, 0.0), (4, 0.0)]
+    assert rows(evaluate.groundedness(df)) == [(1, 1.0), (2, 1.0), (3, None), (4, None)]
+    kind = lambda claim, source: F.lit(0.5)
+    assert rows(evaluate.groundedness(df, kind)) == [(1, 0.5), (2, 0.5), (3, None), (4, None)]
+    assert rows(evaluate.context_precision(df, kind))[0] == (1, 1.0)
+    assert evaluate.evaluated(df.where("row_id = 1"), "context_reference").columns == ["row_id", "context_relevance", "context_precision", "context_recall"]
+    assert evaluate.evaluated(df.where("row_id = 1"), "answer").columns == ["row_id", "answer_accuracy", "f1", "similarity", "correctness"]
+    with pytest.raises(ValueError, match="row 3: response"):
+        evaluate.evaluated(df.where("row_id < 4"), "groundedness")
+
+
+def test_report_sink(spark, tmp_path):
+    from inkwell.sources import sinks
+
+    df = spark.createDataFrame([(1, "mix", float("nan"), ["a", "b"]), (2, None, 0.5, None), (3, "mix", 1.0, [])], "row_id int, eval_type string, m double, contexts array<string>")
+    results, meta = sinks.report(df, ["m"], "eval_type", str(tmp_path), sinks.run_stamp("run"))
+    back = {r.row_id: (r.m, r.contexts) for r in spark.read.option("header", True).option("escape", '"').csv(results).collect()}
+    assert back == {"1": (None, '["a","b"]'), "2": ("0.5", None), "3": ("1.0", "[]")}
+    assert {(r.eval_type, r.overall, r.m_mean, r.m_valid) for r in spark.read.json(meta).collect()} == {("mix", False, 1.0, 1), (None, False, 0.5, 1), (None, True, 0.75, 2)}
+
+
+# ---------------------------------------------------------------- catalog and ingestion
+
+def test_catalog_lookup_is_unique(spark):
+    df = spark.createDataFrame([("a", "/x"), ("b", "/y"), ("c", "/y")], "document_id string, source_path string")
+    assert catalog.lookup(df, "/x").first().document_id == "a" and catalog.lookup(df, "/z").count() == 0
+    with pytest.raises(store.ConflictError):
+        catalog.lookup(df, "/y")
+
+
+def test_ingestion_run(spark, tmp_path):
+    from inkwell import ingest
+
+    files, root = tmp_path / "files", str(tmp_path / "tables")
+    files.mkdir()
+    (files / "a.md").write_text("# Head\n\nOne.\n\n- x\n- y\n")
+    (files / "b.md").write_text("\n")
+    (files / "c.docx").write_bytes(b"broken")
+    table = lambda name: store.current(spark, f"{root}/{name}")
+    assert ingest.main([str(files), "--root", root, "--trigger", "watch"], spark) == 1
+    states = {r.file_name: (r.status, r.needs_reingest, r.chunk_count, r.vector_synced_at is not None) for r in table("catalog").collect()}
+    assert states == {"a.md": ("ingested", False, 2, True), "b.md": ("ingested", False, 0, True), "c.docx": ("failed", True, None, False)}
+    chunks = table("chunks").orderBy("chunk_index").collect()
+    assert [(r.content, r.chunker, len(r.embedding)) for r in chunks] == [("One.", "structural", 8), ("x\ny", "structural", 8)]
+    (files / "c.docx").unlink()
+    assert ingest.main([str(files), "--root", root], spark) == 0
+    assert table("tasks").groupBy("status").count().collect() and table("tasks").count() == 3
+    (files / "a.md").write_text("# Head\n\nTwo.\n")
+    assert ingest.main([str(files), "--root", root], spark) == 0
+    assert [r.content for r in table("chunks").collect()] == ["Two."] and table("tasks").count() == 4
+    assert ingest.main([str(files), "--root", root, "--force-reingest", "--file-type", "markdown"], spark) == 0
+    assert table("tasks").count() == 6 and {r.trigger_type for r in table("tasks").collect()} == {"watch", "manual"}
+    assert {r.retry_count for r in table("tasks").where("status = 'failed'").collect()} == {1}
+
+
+def test_lines_of_split_files_are_numbered(spark, tmp_path):
+    from inkwell.sources import readers
+
+    for name, n in (("a", 4000), ("b", 3)):
+        (tmp_path / f"{name}.txt").write_text("".join(f"{name}{i}\n" if i % 7 else "\n" for i in range(1, n + 1)))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        got = {(r.file[-5], r.line_no): r.line for r in readers.numbered_lines(spark, str(tmp_path)).collect()}
+        assert readers.numbered_lines(spark, str(tmp_path)).rdd.getNumPartitions() > 4 or len(got) == 4003
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert got == {(name, i): (f"{name}{i}" if i % 7 else "") for name, n in (("a", 4000), ("b", 3)) for i in range(1, n + 1)}
+
+
+def test_store_keeps_the_last_whole_snapshot(spark, tmp_path):
+    root = str(tmp_path / "store")
+    with pytest.raises(store.MissingError):
+        store.current(spark, root)
+    for i in range(3):
+        store.swap(spark.range(i + 1), root)
+    broken = tmp_path / "store" / "snapshot-000000000009-x"
+    broken.mkdir()
+    assert store.current(spark, root).count() == 3
