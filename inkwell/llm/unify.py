@@ -71,6 +71,16 @@ def _java(ranges: str) -> str:
 
 #: True wherever plain_form or the repair of mixed words may change something; evaluated in the JVM.
 SUSPECT = f"[{_java(UNSEEN + BLANKS + BREAKS + LETTERS + KANA + IDEOGRAPHS + MARKS)}]|[{_java(_LETTER_RUN)}][{_java(_OTHER_RUN)}]|[{_java(_OTHER_RUN)}][{_java(_LETTER_RUN)}]"
+#: Some character beside those that are ordinary wherever they stand; a few ranges, so that most texts are passed over quickly.
+_ODD = (
+    "[^\\n\\f\\x20-\\x7e\\xa1-\\xac\\xae-\\x{24f}\\x{4e00}-\\x{9fff}\\x{3000}-\\x{3096}\\x{309b}-\\x{30ff}\\x{ac00}-\\x{d7a3}\\x{ff01}-\\x{ff0f}\\x{ff1a}-\\x{ff20}\\x{ff3b}-\\x{ff40}\\x{ff5b}-\\x{ff60}"
+    "\\x{2010}-\\x{2027}\\x{2030}-\\x{205e}\\x{e00}-\\x{e7f}\\x{1ea0}-\\x{1eff}\\x{3400}-\\x{4dbf}]"
+)
+
+
+def suspect(text: Column) -> Column:
+    """Whether plain_form or the repair of mixed words may change a text; null for null."""
+    return text.rlike(_ODD) & text.rlike(SUSPECT)
 
 
 def plain_form(text: str) -> str:
@@ -163,8 +173,8 @@ def unify(df: DataFrame, keys: list[str], text: str, vocab: DataFrame | None = N
     them; the session's ``clearCache`` releases them.
     """
     rows = df.select(*keys, F.col(text).alias("_u_text"))
-    sound = rows.where(~F.coalesce(F.col("_u_text").rlike(SUSPECT), F.lit(False)))
-    odd = rows.where(F.col("_u_text").rlike(SUSPECT)).withColumn("_u_plain", _plain_udf("_u_text")).withColumn("_u_mixed", _mixed_udf("_u_plain"))
+    sound = rows.where(~F.coalesce(suspect(F.col("_u_text")), F.lit(False)))
+    odd = rows.where(suspect(F.col("_u_text"))).withColumn("_u_plain", _plain_udf("_u_text")).withColumn("_u_mixed", _mixed_udf("_u_plain"))
     odd = odd.persist(StorageLevel.MEMORY_AND_DISK)
     if vocab is None:
         vocab = vocabulary(sound.select("_u_text").unionByName(odd.select(F.col("_u_plain").alias("_u_text"))), "_u_text")

@@ -121,7 +121,9 @@ def test_what_is_found_comes_from_the_repair(spark, sf_dir):
 def test_prefilter_sees_all_that_changes(spark):
     texts = [chr(c) for c in range(1, 0x20000) if not 0xD800 <= c < 0xE000]
     df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(4)
-    missed = [r.t for r in df.where(~F.col("t").rlike(unify.SUSPECT)).collect() if unify.plain_form(r.t) != r.t]
+    missed = [r.t for r in df.where(~unify.suspect(F.col("t"))).collect() if unify.plain_form(r.t) != r.t]
+    seen = {r.t for r in df.where(F.col("t").rlike(unify.SUSPECT)).collect()}
+    assert {r.t for r in df.where(unify.suspect(F.col("t"))).collect()} == seen
     assert not [m for m in missed if unify._STYLED.search(m) or unify._HALF_KANA.search(m) or unify._RADICAL.search(m) or unify._BLANK.search(m) or unify._BREAK.search(m)]
 
 
