@@ -38,8 +38,9 @@ SURE = 6.0
 LETTERS = 4
 #: Below these log-odds the words in quotation marks are read too, as little but names may stand outside.
 UNSURE = 20.0
-ROOM = 400_000
+ROOM = 40_000
 _QUOTED = re.compile(r"「[^「」]*」|『[^『』]*』|“[^“”]*”|„[^„“”]*[“”]|«[^«»]*»|《[^《》]*》|\"[^\"\n]*\"|(?<!\w)['‘][^'‘’\n]*['’](?!\w[\w'’])")
+_MARK = re.compile("[「『“„«《\"'‘]")
 _NOT_TEXT = re.compile(r"[\W\d_]+")
 _FINAL = re.compile(r"[。！？｡.!?…．](?:[」』”\"»“）)\]’']|\s)*$")
 _THAI = re.compile("[ก-๎]")
@@ -55,7 +56,7 @@ def named_language(label: Column) -> Column:
 
 def bare(text: str) -> str:
     """Lower-case letters outside quotations, single blanks between them."""
-    for _ in range(3):
+    for _ in range(3 if _MARK.search(text) else 0):
         shorter = _QUOTED.sub(" ", text)
         if shorter == text:
             break
@@ -68,8 +69,8 @@ def complete(unit: str) -> bool:
     return bool(_FINAL.search(unit)) or bool(_THAI_FINAL.search(unit))
 
 
-def _buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets of all n-grams of the texts, and the text in which each lies."""
+def _grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For n = 1, 2, 3 the buckets of all n-grams of the texts, and the text in which each lies, in order of the texts."""
     joined = "\0".join(texts) + "\0\0"
     codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.uint64)
     owner = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
@@ -79,13 +80,10 @@ def _buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         one = a * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)
         two = (one ^ b) * np.uint64(0xC2B2AE3D27D4EB4F)
         three = (two ^ c) * np.uint64(0x165667B19E3779F9)
-    grams, owners = [], []
     for h, there in ((one, a > 32), (two, (a > 0) & (b > 0)), (three, (a > 0) & (b > 0) & (c > 0))):
         h = h[there]
         h ^= h >> np.uint64(31)
-        grams.append((h & np.uint64(BUCKETS - 1)).astype(np.int64))
-        owners.append(owner[there])
-    return np.concatenate(grams), np.concatenate(owners)
+        yield (h & np.uint64(BUCKETS - 1)).astype(np.int64), owner[there]
 
 
 def score(matrix: np.ndarray, texts: list[str]) -> np.ndarray:
@@ -97,12 +95,10 @@ def score(matrix: np.ndarray, texts: list[str]) -> np.ndarray:
         while stop < len(texts) and (stop == start or size + len(texts[stop]) < ROOM):
             size += len(texts[stop])
             stop += 1
-        grams, owner = _buckets(texts[start:stop])
-        order = np.argsort(owner, kind="stable")
-        grams, owner = grams[order], owner[order]
-        if len(owner):
-            firsts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            out[start + owner[firsts]] = np.add.reduceat(matrix[grams], firsts, axis=0)
+        for grams, owner in _grams(texts[start:stop]):
+            if len(owner):
+                firsts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+                out[start + owner[firsts]] += np.add.reduceat(matrix[grams], firsts, axis=0)
         start = stop
     return out
 
@@ -137,8 +133,8 @@ def _counts(labelled: DataFrame, prior) -> np.ndarray:
                 keep = score(prior.value, texts).argmax(axis=1) == np.array(labels)
                 texts, labels = [t for t, k in zip(texts, keep) if k], [x for x, k in zip(labels, keep) if k]
             if texts:
-                grams, owner = _buckets(texts)
-                sums += np.bincount(grams * len(LANGS) + np.array(labels)[owner], minlength=sums.size).reshape(sums.shape)
+                for grams, owner in _grams(texts):
+                    sums += np.bincount(grams * len(LANGS) + np.array(labels)[owner], minlength=sums.size).reshape(sums.shape)
         bucket, lang = np.nonzero(sums)
         yield pd.DataFrame({"bucket": bucket, "lang": lang, "n": sums[bucket, lang]})
 

@@ -232,7 +232,8 @@ def unit_ends(text: str | None) -> list[int]:
             stop = gap[0] if stop < 0 else stop
             line = text[at:stop]
             free = own or _ENDED.search(before) is not None
-            single = _HEADING.match(line) or free and (_ITEM.match(line) or _SPEAKER.match(line)) or own and _BULLET.match(line) or _TABLE_ROW.match(line)
+            spoken = free and (":" in line or "：" in line) and _SPEAKER.match(line)
+            single = _HEADING.match(line) or free and _ITEM.match(line) or spoken or own and _BULLET.match(line) or "|" in line and _TABLE_ROW.match(line)
             if single:
                 if running >= 0:
                     _running(text, running, at, ends)
