@@ -18,14 +18,16 @@ from __future__ import annotations
 import heapq
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Documents per part in which ranks are counted.
 PART_ROWS = 100_000
-_SLOTS = T.StructType().add("size", T.IntegerType()).add("first", T.LongType()).add("last", T.LongType()).add("container", T.LongType()).add("each", T.IntegerType())
+#: Bits of a rank in the key (length, rank) of a slot.
+RANK_BITS = 44
 
 
 def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -100,15 +102,22 @@ def ranked(part: DataFrame, parts: int) -> DataFrame:
 def pack(spark: SparkSession, sized: DataFrame, capacity: int) -> DataFrame:
     """(doc_id, piece, size, container) for documents with their n_tokens.
 
-    The plan has at most a few slots per length, so it is bounded by the capacity and is broadcast.
+    The plan has at most a few slots per length, so it is bounded by the capacity and is broadcast, ordered by length and
+    first rank: a piece finds its slot by bisection, however many slots its length has.
     """
     part = pieces(sized, capacity)
     counted = {r["size"]: r["n"] for r in part.groupBy("size").agg(F.count("*").alias("n")).collect()}
     total = sum(counted.values())
-    slots, _ = plan(counted, capacity)
-    table = F.broadcast(spark.createDataFrame(slots, _SLOTS).withColumnRenamed("size", "_size"))
+    slots = np.array(sorted(plan(counted, capacity)[0]) or np.empty((0, 5)), np.int64).reshape(-1, 5)
+    shared = spark.sparkContext.broadcast((slots[:, 0] << RANK_BITS | slots[:, 1], slots[:, 1], slots[:, 3], slots[:, 4]))
+
+    @F.pandas_udf("bigint")
+    def container(sizes: pd.Series, ranks: pd.Series) -> pd.Series:
+        keys, first, opened, each = shared.value
+        rank = ranks.to_numpy(np.int64)
+        slot = np.searchsorted(keys, sizes.to_numpy(np.int64) << RANK_BITS | rank, "right") - 1
+        return pd.Series(opened[slot] + (rank - first[slot]) // each[slot])
+
     placed = ranked(part.where(F.col("size") > 0), max(1, total // PART_ROWS + 1))
-    inside = (F.col("size") == F.col("_size")) & F.col("rank").between(F.col("first"), F.col("last"))
-    container = F.col("container") + F.floor((F.col("rank") - F.col("first")) / F.col("each"))
-    full = placed.join(table, inside).select("doc_id", "piece", "size", container.cast("long").alias("container"))
+    full = placed.select("doc_id", "piece", "size", container("size", "rank").alias("container"))
     return full.unionByName(part.where(F.col("size") <= 0).select("doc_id", "piece", "size", F.lit(-1).cast("long").alias("container")))

@@ -113,6 +113,18 @@ def p6_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return used.join(F.broadcast(sizes), "pack_name").select("pack_name", "containers", F.col("capacity_tokens").alias("capacity"), "used", F.round(share, 6).alias("unused_share"))
 
 
+def p6_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pack_name, documents, divided, overfull, pieces_twice): that each document has its place, only those above the capacity are divided, and no container is overfull."""
+    sizes = F.broadcast(table(spark, sf_dir, "pack_sizes"))
+    packed = p6_containers(spark, sf_dir)
+    loads = packed.where(F.col("container") >= 0).groupBy("pack_name", "container").agg(F.sum("size").alias("load")).join(sizes, "pack_name")
+    overfull = loads.groupBy("pack_name").agg(F.count(F.when(F.col("load") > F.col("capacity_tokens"), 1)).alias("overfull"))
+    each = packed.groupBy("pack_name", "doc_id").agg(F.count("*").alias("n"), F.sum("size").alias("tokens"), F.max("piece").alias("last")).join(sizes, "pack_name")
+    wrong = (F.col("n") > 1) & (F.col("tokens") <= F.col("capacity_tokens"))
+    placed = each.groupBy("pack_name").agg(F.count("*").alias("documents"), F.count(F.when(wrong, 1)).alias("divided"), F.count(F.when(F.col("n") != F.col("last") + 1, 1)).alias("pieces_twice"))
+    return placed.join(overfull, "pack_name", "left").select("pack_name", "documents", "divided", F.coalesce("overfull", F.lit(0)).alias("overfull"), "pieces_twice")
+
+
 def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "test_items"))
 
@@ -135,7 +147,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_texts": p2_texts, "p3_found": p3_found, "p3_paragraphs": p3_paragraphs, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p5_checked": p5_checked, "p6_containers": p6_containers, "p6_unused": p6_unused, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_segments": p8_segments, "p8_documents": p8_documents}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_texts": p2_texts, "p3_found": p3_found, "p3_paragraphs": p3_paragraphs, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p5_checked": p5_checked, "p6_containers": p6_containers, "p6_unused": p6_unused, "p6_checked": p6_checked, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_segments": p8_segments, "p8_documents": p8_documents}
 
 
 def oracle_sql() -> dict[str, str]:
