@@ -237,7 +237,9 @@ def _chunk_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("query_id", F.col("id").alias("item"), F.lit(0).cast("long").alias("list_no"), "rank").unionByName(found)
 
 
-_NUMBER = F.conv(F.substring(F.md5("id"), 1, 15), 16, 10).cast("long")
+def _hundredth(rows: DataFrame) -> DataFrame:
+    """The stated query set where ids are text: every row whose hashed id is divisible by 100."""
+    return rows.where(F.conv(F.substring(F.md5("id"), 1, 15), 16, 10).cast("long") % 100 == 0)
 
 
 def _sql_chunk_knn(score: str, order: str, where: str = "true") -> str:
@@ -257,7 +259,7 @@ def _chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def knn_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks nearest to every chunk whose hashed id is divisible by 100."""
     rows = _chunk_vectors(spark, sf_dir)
-    return knn.knn(rows, "id", rows.where(_NUMBER % 100 == 0), "id", "embedding", K, width=8)
+    return knn.knn(rows, "id", _hundredth(rows), "id", "embedding", K, width=8)
 
 
 @query(_sql_chunk_knn("list_cosine_similarity(c.x, v)", "score desc", "c.file_type in ('pdf', 'image')"))
@@ -265,7 +267,7 @@ def knn_chunks_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by cosine among scanned chunks; the filter comes before the ranking."""
     rows = _chunk_vectors(spark, sf_dir)
     kept = rows.where(metadata.condition(rows, {"terms": {"file_type": ["pdf", "image"]}}))
-    return knn.knn(kept, "id", rows.where(_NUMBER % 100 == 0), "id", "embedding", K, "cosine", width=8)
+    return knn.knn(kept, "id", _hundredth(rows), "id", "embedding", K, "cosine", width=8)
 
 
 _SQL_CHUNKS = "(select id as doc_id, any_value(content) as text from chunks where id is not null group by id)"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.functions.text import cache_key, strip
+from inkwell.operators import geometry
 
 
 class EmbeddingError(RuntimeError):
@@ -41,25 +43,44 @@ class HashEmbedder:
         return (out / np.where(size == 0, 1, size)).tolist()
 
 
-def tried(call: Callable[[list[str]], list[list[float]]], texts: list[str], tries: int = 3) -> list[list[float]]:
+def tried(call: Callable[[list[str]], list[list[float]]], texts: list[str], tries: int = 3, wait: float = 0.0) -> list[list[float]]:
+    """Calls again after an error, ``tries`` times at most, waiting ``wait`` seconds and then twice as long each time."""
     for k in range(tries):
         try:
             return call(texts)
         except Exception as ex:
             if k == tries - 1:
                 raise EmbeddingError(str(ex)) from ex
+            time.sleep(wait * 2**k)
     return []
 
 
-def encode(rows: DataFrame, text: str, provider: Embedder, tries: int = 3) -> DataFrame:
-    """Adds ``embedding`` in batches; blank and null texts get null."""
+def first_of(*calls: Callable) -> Callable:
+    """A plug-in that hands on to the next one where one fails, as from a better to a plainer recogniser; the last error is raised."""
+
+    def call(*given):
+        for k, one in enumerate(calls):
+            try:
+                return one(*given)
+            except Exception:
+                if k == len(calls) - 1:
+                    raise
+        raise ValueError("no plug-in was given")
+
+    return call
+
+
+def encode(rows: DataFrame, text: str, provider: Embedder, tries: int = 3, wait: float = 0.0) -> DataFrame:
+    """Adds ``embedding`` in batches; blank and null texts get null.  A vector of another width than the provider's is an error."""
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, embedding array<float>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             there = batch[text].map(lambda t: bool(t and t.strip()))
             vectors: list = [None] * len(batch)
-            for place, v in zip(np.flatnonzero(there), tried(provider.encode, batch[text][there].tolist(), tries) if there.any() else []):
+            for place, v in zip(np.flatnonzero(there), tried(provider.encode, batch[text][there].tolist(), tries, wait) if there.any() else []):
+                if len(v) != provider.dim:
+                    raise EmbeddingError(f"{provider.name} gave {len(v)} values instead of {provider.dim}")
                 vectors[place] = [float(x) for x in v]
             yield batch.assign(embedding=vectors)
 
@@ -88,3 +109,15 @@ def recognise(pages: DataFrame, detect: Callable[[bytes], list[dict]], read: Cal
             yield pd.DataFrame(out, columns=["filename", "page", "det_no", "x_min", "y_min", "x_max", "y_max", "text", "score"])
 
     return pages.select("filename", "page", "pixels").mapInPandas(run, "filename string, page int, det_no int, x_min int, y_min int, x_max int, y_max int, text string, score double")
+
+
+def read_pages(pages: DataFrame, detect: Callable[[bytes], list[dict]], read: Callable[[bytes, dict], tuple[str, float]], least: float = 0.0) -> DataFrame:
+    """(filename, page, content, groups): pages detected, read and grouped; readings below ``least`` are left out.
+
+    ``groups`` lists (box, contents, counts) in reading order, ``content`` joins their texts by line breaks.  A page without readings has no row.
+    """
+    found = recognise(pages, detect, read).where(F.col("score") >= least).withColumn("_page", F.struct("filename", "page"))
+    groups = geometry.reading_groups(found, "_page", "det_no", "text")
+    ordered = F.sort_array(F.collect_list(F.struct("group_no", "box", "contents", "counts")))
+    one = groups.groupBy("page").agg(ordered.alias("groups"))
+    return one.select("page.filename", "page.page", F.array_join(F.transform("groups", lambda g: g["contents"]), "\n").alias("content"), "groups")

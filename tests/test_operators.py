@@ -229,6 +229,7 @@ def test_packs_hold_the_budget(spark):
 
 
 def test_structured_document_gives_five_chunks(spark):
+    # A document of two sections with two headers each, and the number of its chunks
     labels = [("title", "T"), ("section_header", "A"), ("section_header", "A1"), ("paragraph", "p1"), ("section_header", "A2"), ("paragraph", "p2"), ("section_header", "B"), ("section_header", "B1"), ("paragraph", "p3"), ("section_header", "B2"), ("paragraph", "p4"), ("list_item", "l1"), ("list_item", "l2"), ("list_item", "l3")]
     df = spark.createDataFrame([(1, [(i, label, None, t) for i, (label, t) in enumerate(labels)])], "result_id bigint, items array<struct<item_no int, label string, level int, text string>>")
     got = chunking.structural(df, "result_id", "items", 8192).orderBy("chunk_index").collect()
@@ -256,6 +257,7 @@ def test_first_bad_sample_raises(spark):
 # ---------------------------------------------------------------- pages
 
 def test_box_golden_values(spark):
+    # Boxes A, B, C and the expansion of (10, 20, 30, 40) within (35, 45)
     one = spark.range(1)
     x = geometry.expanded(F.lit(10), F.lit(30), ratio=2, limit=F.lit(35))
     y = geometry.expanded(F.lit(20), F.lit(40), ratio=2, limit=F.lit(45))

@@ -68,3 +68,41 @@ def test_stream_into_store(spark, tmp_path):
         make(data).coalesce(1).write.mode("append").parquet(source)
         ingest.into_store(ingest.arrivals(spark, source, schema), root, str(tmp_path / "check")).awaitTermination()
     assert sorted((r.id, r.v) for r in store.current(spark, root).collect()) == [("a", 2), ("b", 5)]
+
+
+def test_pages_are_read_in_groups(spark):
+    from inkwell.sources import providers
+
+    boxes = {b"one": [("A", 5, 5, 15, 12), ("B", 14, 5, 24, 12), ("C", 40, 30, 50, 38), ("?", 0, 0, 1, 1)], b"none": []}
+    detect = lambda image: [dict(zip(("x_min", "y_min", "x_max", "y_max"), b[1:])) for b in boxes[bytes(image)]]
+    read = lambda image, box: next((b[0], 0.1 if b[0] == "?" else 0.9) for b in boxes[bytes(image)] if b[1] == box["x_min"])
+    pages = spark.createDataFrame([("f", 1, bytearray(b"one")), ("f", 2, bytearray(b"none"))], "filename string, page int, pixels binary")
+    got = providers.read_pages(pages, detect, read, 0.5).collect()
+    assert [(r.filename, r.page, r.content, [(g.contents, g.counts) for g in r.groups]) for r in got] == [("f", 1, "A\nB\nC", [("A\nB", 2), ("C", 1)])]
+
+
+def test_plug_ins_fall_back_and_are_tried_again(spark):
+    from inkwell.sources import providers
+
+    def broken(*_):
+        raise RuntimeError("no model")
+
+    assert providers.first_of(broken, lambda x: x + 1)(1) == 2
+    with pytest.raises(RuntimeError):
+        providers.first_of(broken, broken)(1)
+    calls = []
+
+    def flaky(texts):
+        calls.append(1)
+        if len(calls) < 3:
+            raise RuntimeError("busy")
+        return [[1.0]] * len(texts)
+
+    assert providers.tried(flaky, ["a"], wait=0.01) == [[1.0]] and len(calls) == 3
+
+    class Narrow(providers.HashEmbedder):
+        def encode(self, texts):
+            return [[0.0]] * len(texts)
+
+    with pytest.raises(Exception, match="1 values instead of 8"):
+        providers.encode(spark.createDataFrame([("a",)], "t string"), "t", Narrow()).collect()
