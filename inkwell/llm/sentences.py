@@ -58,6 +58,7 @@ _ABBREVIATIONS = _trie(OUTER_ABBREVIATIONS, "outer", _trie(INNER_ABBREVIATIONS,
 _STOP = re.compile(
     "[" + re.escape("".join({*PAIRS, *CLOSERS})) + "\"]|[。！？｡!?]+[…。！？!?]*|…+|\\.{2,}|[.．]|(?:" + "|".join(THAI_ENDINGS) + ")(?=[ \n　]|$)"
 )
+_ENCLOSING = re.compile("[" + re.escape("".join({*PAIRS, *CLOSERS})) + "\"]")
 _BLANK_LINE = re.compile(r"\n[ \t　\r]*(?:\n[ \t　\r]*)+")
 _HEADING = re.compile(r"[ \t]{0,3}#{1,6}[ \t]")
 _ITEM = re.compile(r"[ \t]*(?:[-*•・‣◦–][ 　]?|[(（]?[0-9０-９]{1,3}[.．)）][ 　])(?=\S)")
@@ -128,7 +129,7 @@ def _matched(tokens: list[re.Match]) -> tuple[set[int], set[int], int]:
 def _running(text: str, start: int, end: int, ends: list[int]) -> None:
     """Adds the ends of the units of the running text between start and end."""
     tokens = list(_STOP.finditer(text, start, end))
-    opens, closes, orphan = _matched(tokens)
+    opens, closes, orphan = _matched(tokens) if _ENCLOSING.search(text, start, end) else (set(), set(), -1)
     depth = 1 if orphan >= 0 else 0
     unit, opened, stopped_inside = start, start, False
     for m in tokens:
